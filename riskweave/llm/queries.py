@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, ngram_join, packing
 from ._spark import read
 
 
@@ -18,9 +18,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_packing)}
+    return {f.__name__: f for f in (op2_mixing, op3_packing, op5_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op3_packing": packing.oracle()}
+    return {"op2_mixing": mixing.oracle(), "op3_packing": packing.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle()}
