@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing
+from . import mixing, ngram_join, packing, substring_dedup
 from ._spark import read
 
 
@@ -22,9 +22,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_packing, op5_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_mixing, op3_packing, op5_ngram_jaccard_join, op6_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op3_packing": packing.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle()}
+    return {"op2_mixing": mixing.oracle(), "op3_packing": packing.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle(), "op6_substring_dedup": substring_dedup.oracle()}
