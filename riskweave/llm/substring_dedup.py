@@ -44,7 +44,8 @@ from ._spark import checkpoint, text_bytes
 from ._text import Words, chunked, mix
 
 K = 50
-FRAGMENT_BYTES = 64 << 20
+#: Text bytes whose k-mers make a fragment; one fragment is held in memory at a time.
+FRAGMENT_BYTES = 32 << 20
 _U = np.uint64
 _POSTINGS = "fragment int, doc binary, sig binary, count binary, key binary, low binary, high binary"
 _OCCURRENCES = "bucket int, doc binary, sig binary, count binary, low binary, high binary, source binary, first_low binary, first_high binary, source_doc binary, source_sig binary"
@@ -66,7 +67,10 @@ def _planes(x: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _from_planes(low: pa.ChunkedArray, high: pa.ChunkedArray) -> np.ndarray:
-    return B.joined(low, np.uint16).astype(np.int64) | (B.joined(high, np.uint16).astype(np.int64) << 16)
+    x = B.joined(high, np.uint16).astype(np.uint32)
+    x <<= 16
+    x |= B.joined(low, np.uint16)
+    return x
 
 
 def _edges(x: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
                 continue
             at = B.spans(number)
             doc = np.repeat(np.arange(len(number)), number)
-            pos = np.arange(at[-1]) - at[doc]
+            pos = np.arange(at[-1]) - at[doc]  # int64 here, 32 bits in the blocks
             h = words.runs(words.first[doc] + pos, k)
             ids, sig = batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)
             fragment = B.fragment_of(h, bits)
@@ -107,19 +111,21 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
         o = o[np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))] if len(o) else o  # rows that repeat are one document
         i = B.take_runs(at, o)
         doc, sig, count, key, pos = doc[o], sig[o], count[o], key[i], pos[i]
+        del i
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), count)
         # postings are in the order of document and word: the least of a run of equal keys is the first
-        o = np.argsort(key)
+        o = np.argsort(key).astype(np.int32)
         cut = _edges(key[o])
+        del key
         size = np.diff(cut)
-        first = np.empty(len(o), np.int64)
+        first = np.empty(len(o), np.int32)
         if len(o):
             first[o] = np.repeat(np.minimum.reduceat(o, cut[:-1]), size)
             many = np.empty(len(o), bool)
             many[o] = np.repeat(size > 1, size)
         else:
             many = np.zeros(0, bool)
-        del o, key
+        del o
         i = np.flatnonzero(many)
         bucket = B.fragment_of(mix(doc.view(np.uint64)), bits)
         i = i[B.sort_by(bucket[owner[i]])]
@@ -136,7 +142,7 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
 
     def compact(table: pa.Table) -> pa.Table:
         doc, sig, count = B.joined(table.column("doc"), np.int64), B.joined(table.column("sig"), np.uint64), B.joined(table.column("count"), np.uint32)
-        pos, first = _from_planes(table.column("low"), table.column("high")), _from_planes(table.column("first_low"), table.column("first_high"))
+        pos, first = _from_planes(table.column("low"), table.column("high")).astype(np.int64), _from_planes(table.column("first_low"), table.column("first_high")).astype(np.int64)
         sources = [np.frombuffer(x, np.int64) for x in table.column("source_doc").to_pylist()]
         shift = B.spans([len(x) for x in sources])
         index = [np.frombuffer(x, np.uint32) for x in table.column("source").to_pylist()]
