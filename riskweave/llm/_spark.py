@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_riskweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    fd, name = tempfile.mkstemp(prefix="riskweave-", suffix=".zip")  # the driver serves it to the executors
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(name)
+    sc._riskweave_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

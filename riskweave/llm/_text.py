@@ -89,6 +89,7 @@ class Words:
             after[cut[cut > 0] - 1] = False
         self.end = np.flatnonzero(flag & ~after) + 1
         self.first = np.searchsorted(self.begin, at)
+        self._flag = flag
         self._eight: np.ndarray | None = None
         self._hash: np.ndarray | None = None
 
