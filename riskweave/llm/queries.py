@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, ngram_join, packing, substring_dedup, toxicity
+from . import language_id, license_scan, mixing, ngram_join, packing, substring_dedup, topk_search, toxicity
 from ._spark import read
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(read(spark, sf_dir, "documents"))
 
@@ -34,9 +38,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_packing, op4_language_id, op5_ngram_jaccard_join, op6_substring_dedup, op8_toxicity)}
+    own = (op1_topk_search, op2_mixing, op3_packing, op4_language_id, op5_ngram_jaccard_join, op6_substring_dedup, op8_toxicity, op10_license_scan)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op3_packing": packing.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle(), "op6_substring_dedup": substring_dedup.oracle()}
+    return {
+        "op1_topk_search": topk_search.oracle(),
+        "op2_mixing": mixing.oracle(),
+        "op3_packing": packing.oracle(),
+        "op5_ngram_jaccard_join": ngram_join.oracle(),
+        "op6_substring_dedup": substring_dedup.oracle(),
+        "op10_license_scan": license_scan.oracle(),
+    }
