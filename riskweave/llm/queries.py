@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, mixing, ngram_join, packing, substring_dedup, topk_search, toxicity
+from . import ann, language_id, license_scan, mixing, ngram_join, packing, substring_dedup, topk_search, toxicity
 from ._spark import read
 
 
@@ -34,6 +34,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.spans(read(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk_search, op2_mixing, op3_packing, op4_language_id, op5_ngram_jaccard_join, op6_substring_dedup, op8_toxicity, op10_license_scan)
+    own = (op1_topk_search, op2_mixing, op3_packing, op4_language_id, op5_ngram_jaccard_join, op6_substring_dedup, op7_nearest_neighbours, op8_toxicity, op10_license_scan)
     return {f.__name__: f for f in own}
 
 
