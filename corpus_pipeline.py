@@ -1,17 +1,34 @@
 """The corpus pipeline: documents in, packed training pieces out.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
-predecessor kept; ``run`` writes each stage's result to the shared folder and
-reads it for the next. No SQL expresses the whole of it, so ORACLE_SQL is None
-and the tests hold the stages against brute force.
+predecessor kept: documents that the classifier chain rejects go; one document
+of each group of near duplicates stays; of passages that repeat only the first
+occurrence stays; the sources are mixed to their target weights; and the rest is
+packed. ``run`` writes each stage's result to the shared folder and reads it for
+the next. No SQL expresses the whole of it, so ORACLE_SQL is None and the tests
+hold the stages against brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import mixing, packing
-from riskweave.llm._spark import checkpoint, read
+from riskweave.llm import mixing, ngram_join, packing, substring_dedup, toxicity
+from riskweave.llm._spark import checkpoint, read, ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.deduplicate(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring_dedup.remove(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +39,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, with_text=True)
 
 
-STAGES = [("mixing", mix_sources), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language_id, license_scan, mixing, ngram_join, packing, substring_dedup, topk_search, toxicity
+from . import ann, language_id, license_scan, mixing, ngram_join, packing, substring_dedup, token_output, topk_search, toxicity
 from ._spark import read
 
 
@@ -42,12 +42,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.output(read(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk_search, op2_mixing, op3_packing, op4_language_id, op5_ngram_jaccard_join, op6_substring_dedup, op7_nearest_neighbours, op8_toxicity, op10_license_scan)
+    own = (op1_topk_search, op2_mixing, op3_packing, op4_language_id, op5_ngram_jaccard_join, op6_substring_dedup, op7_nearest_neighbours, op8_toxicity, op9_token_output, op10_license_scan)
     return {f.__name__: f for f in own}
 
 
