@@ -1,0 +1,196 @@
+"""Personal data in documents, pages, conversations and table cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import IDENTIFIERS, PATTERNS
+from ..functions.validators import VALIDATORS, sql as valid_sql
+from ..operators import pii
+from ._common import Query, quote, table
+
+#: Latin letters outside ASCII become a word character, so that RE2's word boundaries agree with Java's.
+_TEXT = "regexp_replace({}, '[\\x{{C0}}-\\x{{24F}}]', '_', 'g')"
+_IDS = "(" + ", ".join(map(quote, IDENTIFIERS)) + ")"
+
+
+def matches_sql(source: str, key: str, text: str, mode: str = "line") -> str:
+    """A select of the matches that count: key, line, type_ord, type, pos, value, norm."""
+    seen = _TEXT.format(text)
+    if mode == "line":
+        lines = f"select {key}, unnest(string_split({seen}, chr(10))) t, generate_subscripts(string_split({seen}, chr(10)), 1) - 1 as line from {source} where {text} is not null"
+    else:
+        lines = f"select {key}, {seen} t, 0 as line from {source} where {text} is not null"
+    parts = []
+    for i, p in enumerate(PATTERNS):
+        regex, group = quote(p.re2 or p.regex), p.re2_group or (p.group if mode == "block" else 0)
+        hits = f"regexp_extract_all(t, {regex}, {group})"
+        part = f"select {key}, line, {i} type_ord, {quote(p.name)} as type, unnest({hits}) as value, generate_subscripts({hits}, 1) - 1 as pos from l where regexp_matches(t, {regex})"
+        parts.append(f"select * from ({part}) where {valid_sql(p.validator, 'value')}" if p.validator else part)
+    raw = f"with l as ({lines}), r as ({' union all '.join(parts)}), n as (select *, upper(replace(value, ' ', '')) norm from r)"
+    if mode == "line":
+        return f"({raw} select * from n qualify row_number() over (partition by {key}, norm order by type_ord, line, pos) = 1)"
+    return f"({raw} select * from n qualify min(type_ord) over (partition by {key}, norm) = type_ord)"
+
+
+def _by_type_sql(source: str, key: str, text: str, mode: str) -> str:
+    return f"""select type, count(*) as documents, sum(n)::bigint as matches, sum(d)::bigint as distinct_values from (
+      select type, {key}, count(*) n, count(distinct norm) d from {matches_sql(source, key, text, mode)} group by all) group by type"""
+
+
+def by_type(name: str, key: str, text: str, mode: str) -> tuple[Query, str]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pii.by_type(pii.matches(table(spark, sf_dir, name), key, text, mode), key)
+
+    return run, _by_type_sql(name, key, text, mode)
+
+
+def _docs(spark: SparkSession, sf_dir: str, mode: str = "line") -> DataFrame:
+    return pii.matches(table(spark, sf_dir, "documents"), "doc_id", "text", mode)
+
+
+def per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.per_document(_docs(spark, sf_dir), "doc_id")
+
+
+def data_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = pii.per_document(_docs(spark, sf_dir), "doc_id")
+    return each.agg(F.count("*").alias("files_with_pii"), F.sum("pii_count").alias("pii_count"), F.sum("data_subjects").alias("distinct_subjects")).withColumn(
+        "estimated_data_subjects", F.when(F.col("distinct_subjects") > 0, F.col("distinct_subjects")).otherwise(F.col("files_with_pii"))
+    )
+
+
+def block_vs_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, block = (_docs(spark, sf_dir, m).groupBy("type").agg(F.count("*").alias(m)) for m in ("line", "block"))
+    return line.join(block, "type", "full_outer").select("type", F.coalesce("line", F.lit(0)).alias("line_matches"), F.coalesce("block", F.lit(0)).alias("block_matches"))
+
+
+def conversations_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn", "role"))
+    found = pii.matches(rows, "k", "text").groupBy(F.col("k.role").alias("role")).agg(F.count("*").alias("matches"))
+    turns = rows.groupBy("role").agg(F.count("*").alias("turns"))
+    return turns.join(found, "role", "left").select("role", "turns", F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
+def toxic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: families that share a document."""
+    types = _docs(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_set("type")).alias("t")).where(F.size("t") > 1)
+    one = types.select("doc_id", "t", F.explode("t").alias("type_a"))
+    return one.select("type_a", F.explode("t").alias("type_b")).where("type_a < type_b").groupBy("type_a", "type_b").agg(F.count("*").alias("documents"))
+
+
+#: Customers as table cells: contact details derived from the key, the same in both engines.
+CONTACTS = """select c_custkey,
+  case when c_custkey % 3 = 0 then concat('user', cast(c_custkey as varchar(20)), '@example.com') when c_custkey % 3 = 1 then 'n/a' end as contact_mail,
+  case when c_custkey % 4 = 0 then concat('06 12 34 ', lpad(cast(c_custkey % 100 as varchar(20)), 2, '0'), ' 78') when c_custkey % 4 = 1 then 'FR7630006000011234567890189' else 'none' end as phone,
+  case when c_custkey % 5 = 0 then concat('987-65-', lpad(cast(c_custkey % 10000 as varchar(20)), 4, '0')) when c_custkey % 5 = 1 then 'IBAN: FR7630006000011234567890189' end as note,
+  c_mktsegment from customer"""
+
+
+def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CONTACTS.replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
+
+
+_CELL_COLUMNS = ["contact_mail", "phone", "note", "c_mktsegment"]
+
+
+def cell_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.cells(_contacts(spark, sf_dir), _CELL_COLUMNS)
+
+
+def _cell_case(v: str) -> str:
+    def hit(p) -> str:
+        return f"regexp_matches({v}, {quote(p.re2 or p.regex)})" + (f" and {valid_sql(p.validator, v)}" if p.validator else "")
+
+    return "case " + " ".join(f"when {hit(p)} then {quote(p.name)}" for p in PATTERNS) + " end"
+
+
+_CELLS = " union all ".join(f"select {quote(c)} as column_name, {c} as v from ({CONTACTS})" for c in _CELL_COLUMNS)
+_CELL_SQL = f"select column_name, pii_type, count(*) as cells from (select column_name, {_cell_case('v')} as pii_type from ({_CELLS}) where v is not null) where pii_type is not null group by all"
+_TABLES = ("customer", "orders", "lineitem", "part", "supplier", "nation", "region", "events", "documents")
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(t, c) for t in _TABLES for c in table(spark, sf_dir, t).columns] + [("contacts", c) for c in ["c_custkey", *_CELL_COLUMNS]]
+    return spark.createDataFrame(rows, "table_name string, column_name string")
+
+
+def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose column names or cells hold personal data."""
+    names = _columns(spark, sf_dir).withColumn("pii_type", pii.column_class(F.col("column_name"))).where("pii_type is not null").select("table_name", "column_name", "pii_type")
+    found = names.unionByName(cell_columns(spark, sf_dir).select(F.lit("contacts").alias("table_name"), "column_name", "pii_type"))
+    return found.groupBy("table_name").agg(F.concat_ws(",", F.array_sort(F.collect_set("pii_type"))).alias("pii_types"), F.concat_ws(",", F.array_sort(F.collect_set("column_name"))).alias("pii_columns"))
+
+
+_CLASS_SQL = "case " + " ".join(f"when {' or '.join(f'contains(lower(column_name), {quote(w)})' for w in words)} then {quote(label)}" for label, *words in pii.NAME_CLASSES) + " end"
+_ALL_COLUMNS = " union all ".join([f"select '{t}' as table_name, column_name from (describe {t})" for t in _TABLES] + [f"select 'contacts' as table_name, unnest([{', '.join(map(quote, ['c_custkey', *_CELL_COLUMNS]))}]) as column_name"])
+_SUMMARY_SQL = f"""select table_name, string_agg(distinct pii_type, ',' order by pii_type) as pii_types, string_agg(distinct column_name, ',' order by column_name) as pii_columns from (
+  select table_name, column_name, {_CLASS_SQL} as pii_type from ({_ALL_COLUMNS}) union all select 'contacts', column_name, pii_type from ({_CELL_SQL})) where pii_type is not null group by table_name"""
+
+#: Identifier-like strings derived from order keys, the same in both engines.
+_K = "(o_orderkey * 7919 + 123456789)"
+IDENTIFIER_SQL = {
+    "dni": f"concat(lpad(cast({_K} % 100000000 as varchar(20)), 8, '0'), substr('TRWAGMYFPDXBNJZSQVHLCKE', cast(o_orderkey % 23 + 1 as int), 1))",
+    "nie": f"concat(substr('XYZ', cast(o_orderkey % 3 + 1 as int), 1), lpad(cast({_K} % 10000000 as varchar(20)), 7, '0'), substr('TRWAGMYFPDXBNJZSQVHLCKE', cast(o_orderkey % 23 + 1 as int), 1))",
+    "nif": f"lpad(cast({_K} % 1000000000 as varchar(20)), 9, '0')",
+    "pesel": f"lpad(cast({_K} * 31 % 100000000000 as varchar(20)), 11, '0')",
+    "bsn": f"lpad(cast({_K} % 1000000000 as varchar(20)), 9, '0')",
+    "niss": f"concat(lpad(cast({_K} % 1000000000 as varchar(20)), 9, '0'), lpad(cast(97 - {_K} % 1000000000 % 97 + o_orderkey % 2 as varchar(20)), 2, '0'))",
+    "codice_fiscale": "concat('RSSMRA85M', lpad(cast(o_orderkey % 31 + 1 as varchar(20)), 2, '0'), 'H', lpad(cast(o_orderkey % 1000 as varchar(20)), 3, '0'), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(o_orderkey % 26 + 1 as int), 1))",
+    "iban": f"concat('FR', lpad(cast(o_orderkey % 97 + 2 as varchar(20)), 2, '0'), '3000600001', lpad(cast({_K} % 100000000000 as varchar(20)), 11, '0'), '89')",
+}
+
+
+def valid(kind: str) -> tuple[Query, str]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(IDENTIFIER_SQL[kind]).alias("v"))
+        return rows.select("o_orderkey", "v", VALIDATORS[kind](F.col("v")).alias("valid"))
+
+    return run, f"select o_orderkey, v, {valid_sql(kind, 'v')} as valid from (select o_orderkey, {IDENTIFIER_SQL[kind]} as v from orders)"
+
+
+def native_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", *[c.alias(k) for k, c in pii.coarse_flags(F.col("text")).items()])
+
+
+def _flags_sql() -> str:
+    times = lambda w: f"((length(text) - length(replace(text, '{w}', ''))) // {len(w)})"
+    counts = {
+        "email": times("@"),
+        "phone_fr": "(" + " + ".join(times(w) for w in pii.PHONE_WORDS) + ")",
+        "iban": "(contains(text, 'FR') and length(regexp_replace(text, '[^0-9]', '', 'g')) > 20)::int",
+        "credit_card": "len(list_filter(regexp_split_to_array(text, '[^0-9]'), lambda x: length(x) between 13 and 19))",
+        "api_key": "(" + " or ".join(f"contains(lower(text), '{w}')" for w in pii.API_WORDS) + ")::int",
+        "jwt_token": f"(contains(text, 'eyJ') and {times('.')} >= 2)::int",
+    }
+    n = ", ".join(f"{c}::bigint as n{i}" for i, c in enumerate(counts.values()))
+    flags = " + ".join(f"case when n{i} > 0 then {1 << pii.FLAG_BITS[k]} else 0 end" for i, k in enumerate(counts))
+    total = " + ".join(f"n{i}" for i in range(len(counts)))
+    return f"select doc_id, ({flags})::bigint as flags, ({total})::bigint as hits, round(({total}) / (strlen(text) / 1024.0::double), 4) as density from (select doc_id, text, {n} from documents where text is not null)"
+
+
+_LINE = matches_sql("documents", "doc_id", "text")
+_PER_DOC = f"select doc_id, list_sort(list(distinct type)) as pii_types, count(*) as pii_count, count(distinct case when type in {_IDS} then norm end) as data_subjects from {_LINE} group by doc_id"
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "pii_line_by_type": by_type("documents", "doc_id", "text", "line"),
+    "pii_block_by_type": by_type("documents", "doc_id", "text", "block"),
+    "pii_pages": by_type("pages", "page_id", "html", "line"),
+    "pii_line_per_doc": (per_doc, _PER_DOC),
+    "pii_data_subjects": (data_subjects, f"""select count(*) as files_with_pii, sum(pii_count)::bigint as pii_count, sum(data_subjects)::bigint as distinct_subjects,
+      case when sum(data_subjects) > 0 then sum(data_subjects) else count(*) end::bigint as estimated_data_subjects from ({_PER_DOC})"""),
+    "pii_preview_top10": (
+        lambda spark, sf_dir: pii.previews(_docs(spark, sf_dir), "doc_id").select("doc_id", "type", "place", "line_number", "value_preview"),
+        f"""select doc_id, type, place::int as place, (line + 1)::int as line_number, case when length(value) > 4 then substr(value, 1, 4) || '...' else value end as value_preview from (
+          select *, row_number() over (partition by doc_id, type order by line, pos) place from {_LINE}) where place <= {pii.PREVIEWS}"""),
+    "pii_block_vs_line": (block_vs_line, f"""select coalesce(l.type, b.type) as type, coalesce(l.n, 0) as line_matches, coalesce(b.n, 0) as block_matches from
+      (select type, count(*) n from {_LINE} group by type) l full join (select type, count(*) n from {matches_sql('documents', 'doc_id', 'text', 'block')} group by type) b on l.type = b.type"""),
+    "pii_conversations_by_role": (conversations_by_role, f"""select role, turns, coalesce(matches, 0) as matches from (select role, count(*) turns from conversations group by role) left join
+      (select k.role as role, count(*) matches from {matches_sql("(select {'conv_id': conv_id, 'turn': turn, 'role': role} k, text from conversations)", 'k', 'text')} group by 1) using (role)"""),
+    "pii_toxic_pairs": (toxic_pairs, f"""with t as (select distinct doc_id, type from {_LINE}) select a.type as type_a, b.type as type_b, count(*) as documents from t a join t b on a.doc_id = b.doc_id and a.type < b.type group by all"""),
+    "pii_cell_columns": (cell_columns, _CELL_SQL),
+    "pii_table_summary": (table_summary, _SUMMARY_SQL),
+    **{f"valid_{k}": valid(k) for k in VALIDATORS},
+    "native_flags_density": (native_flags, _flags_sql()),
+}
