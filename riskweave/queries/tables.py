@@ -1 +1,118 @@
-QUERIES = {}
+"""The table audit: profiles, integrity, sampling plans, snapshots, lineage and the read-only guard."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import tables
+from ._common import Literal, Query, quote, table
+
+#: Orders with nulls, bad phones and bad numbers at known places; the same text in both engines.
+DIRTY = """select o_orderkey, case when o_orderkey % 7 = 0 then null else o_custkey end as o_custkey, nullif(o_orderpriority, '1-URGENT') as o_orderpriority, o_orderstatus,
+  case when o_orderkey % 11 = 0 then null when o_orderkey % 5 = 0 then 'broken@' else concat('u', cast(o_orderkey as varchar(20)), '@example.org') end as contact_email,
+  case when o_orderkey % 9 = 0 then 'call me' else concat('+33 1 00 ', lpad(cast(o_orderkey % 10000 as varchar(20)), 4, '0')) end as phone,
+  case when o_orderkey % 13 = 0 then '12,5' else cast(o_orderkey % 1000 as varchar(20)) end as amount_text from orders"""
+_DIRTY_COLUMNS = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "contact_email", "phone", "amount_text"]
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DIRTY.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+_PCT = "round(100.0::double * (count(*) - count({0})) / count(*), 2)"
+_NULLS = " union all ".join(f"select '{c}' as column_name, {_PCT.format(c)} as null_pct from ({DIRTY})" for c in _DIRTY_COLUMNS)
+_RULES = [(c, r) for c in _DIRTY_COLUMNS if (r := tables.rule_of(c, c not in ("o_orderkey", "o_custkey")))]
+_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Child, foreign key, parent, key.
+KEYS = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("labels", "doc_id", "documents", "doc_id"))
+
+
+def orphans_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key with a tenth of the parents taken away."""
+    out = None
+    for child, fk, parent, pk in KEYS:
+        kept = table(spark, sf_dir, parent).where(f"{pk} % 10 <> 3")
+        row = tables.orphans(table(spark, sf_dir, child), fk, kept, pk).select(F.lit(child).alias("child"), F.lit(fk).alias("fk"), "orphan_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for t in _ALL:
+        df = table(spark, sf_dir, t)
+        row = df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_TOTALS = " union all ".join(f"select '{t}' as table_name, (select count(*) from {t}) as row_count, (select count(*) from (describe {t}))::int as column_count" for t in _ALL)
+CATALOG = Literal("schema string, table_name string, row_count bigint", [("public", "users", 500), ("public", "users_eu", 50000), ("public", "products", 10000), ("public", "access_logs", 10_000_000), ("hr", "notes", 3_000_000), (None, "latest_orders", 2000), ("public", "orders", 999), ("public", "big_facts", 900_000_000), ("public", "Payments", 1001)])
+_holds = lambda words: f"regexp_matches(lower(table_name), '{'|'.join(words)}')"
+_TZONE = f"case when lower(coalesce(schema, '')) in ({', '.join(map(quote, tables.SENSITIVE_SCHEMAS))}) or {_holds(tables.SENSITIVE_TABLES)} then 'SENSITIVE' when {_holds(tables.ARCHIVE_TABLES)} then 'ARCHIVE' else 'NORMAL' end"
+
+
+def zone_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zone = tables.zone(F.coalesce("schema", F.lit("")), F.col("table_name"))
+    return CATALOG.frame(spark).withColumn("zone", zone).withColumn("sample_size", tables.sample_size(F.col("zone"), F.col("row_count")))
+
+
+_NOW = Literal("schema string, table_name string, row_count bigint, column_count int, column_hash string", [("public", "a", 10, 2, "h1"), (None, "b", 20, 3, "h2"), ("x", "c", 5, 1, "h3"), ("public", "d", 7, 2, "h9"), ("y", "a", 1, 1, "h5")])
+_OLD = Literal("schema string, table_name string, row_count bigint, column_count int, column_hash string", [("public", "a", 10, 2, "h1"), ("public", "b", 21, 3, "h2"), (None, "d", 7, 2, "h4"), ("public", "gone", 7, 2, "h4")])
+_COLUMNS = Literal("table_name string, pos int, name string, type string", [("t1", 1, "id", "bigint"), ("t1", 2, "created_at", "timestamp"), ("t1", 3, "Updated_At", "timestamp"), ("t2", 1, "pin_hash", "text"), ("t2", 2, "deleted_at", "date"), ("t3", 1, "cipher_key", "bytea"), ("t3", 2, "name", "text"), ("t4", 1, "cipher_key", "text")])
+
+
+def schema_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _COLUMNS.frame(spark).groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type"))).alias("c"))
+    return rows.select("table_name", tables.column_hash(F.col("c")).alias("column_hash"), tables.audit_columns(F.col("c.name")).alias("has_audit_columns"), tables.encryption_signs(F.col("c")).alias("has_encryption"))
+
+
+_CREATED, _UPDATED, _DELETED = "('created_at', 'created_date', 'creation_date', 'date_created', 'insert_timestamp')", "('date_modified', 'modification_date', 'update_timestamp', 'updated_at', 'updated_date')", "('date_deleted', 'deleted_at', 'deleted_date')"
+_IDS = Literal("db_type string, host string, database string", [("postgresql", "db1", "sales"), ("mysql", "db1", "sales"), ("mongodb", "h", "x_y")])
+VIEWS = Literal("view_name string, definition string", [("v1", 'SELECT a FROM "sales"."orders" o JOIN customer c ON 1=1'), ("v2", "select * from lineitem"), ("v3", "select 1"), ("v4", "SELECT x FROM hr.staff UNION SELECT y FROM hr.staff")])
+STATEMENTS = Literal("sql string", [("SELECT 1",), ("  select created_at from t",), ("DELETE FROM t",), ("select 1; drop table t",), ("SHOW TABLES",), ("WITH x AS (SELECT 1) SELECT * FROM x",), ("SELECT updates, grants FROM t",), ("select 'GRANT' as x",)])
+_VERB = f"list_sort(list_distinct(regexp_extract_all(upper(sql), '\\b({'|'.join(tables.FORBIDDEN)})\\b', 1)))[1]"
+
+
+def indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered string aggregation, as over index columns: the nations of each region by name."""
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("x"))
+    return rows.select("n_regionkey", F.array_join("x", ",").alias("names"))
+
+
+def _with_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("customer", "orders")
+    return spark.sql(EXISTS.format(**{n: "{" + n + "}" for n in names}), **{n: table(spark, sf_dir, n) for n in names})
+
+
+EXISTS = """select c_nationkey, count(*) as customers, count(distinct c_mktsegment) as segments, cast((select count(*) from {orders} where o_orderstatus = 'F') as bigint) as finished
+  from {customer} c where exists (select 1 from {orders} o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000) group by c_nationkey"""
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "tbl_null_pct": (lambda s, d: tables.null_percent(dirty(s, d)), f"select * from ({_NULLS}) where null_pct > 0"),
+    "tbl_completeness": (lambda s, d: tables.completeness(dirty(s, d)), f"select (select count(*) from orders) as row_count, round(100 - sum(null_pct) / {len(_DIRTY_COLUMNS)}, 2) as completeness from ({_NULLS})"),
+    "tbl_duplicates": (lambda s, d: tables.duplicates(table(s, d, "documents"), ["text"]), "select count(*) as row_count, count(*) - count(distinct text) as duplicate_rows from documents"),
+    "tbl_duplicate_keys": (lambda s, d: tables.duplicates(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "select count(*) as row_count, count(*) - count(distinct (l_orderkey, l_linenumber)) as duplicate_rows from lineitem"),
+    "tbl_type_validity": (lambda s, d: tables.invalid_values(dirty(s, d)), " union all ".join(f"select '{c}' as column_name, count({c}) as checked, count_if({c} is not null and not regexp_matches({c}, {quote(r)})) as invalid from ({DIRTY})" for c, r in _RULES)),
+    "tbl_orphans": (
+        lambda s, d: tables.orphans(table(s, d, "lineitem"), "l_orderkey", table(s, d, "orders").where("o_orderkey % 10 <> 0"), "o_orderkey"),
+        "select count(*) as orphan_rows from lineitem where l_orderkey is not null and not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderkey % 10 <> 0)",
+    ),
+    "tbl_orphans_multi_fk": (orphans_multi, " union all ".join(f"select '{c}' as child, '{fk}' as fk, count(*) as orphan_rows from {c} x where {fk} is not null and not exists (select 1 from {p} y where y.{pk} = x.{fk} and y.{pk} % 10 <> 3)" for c, fk, p, pk in KEYS)),
+    "tbl_totals": (totals, _TOTALS),
+    "tbl_size_balance": (lambda s, d: tables.size_balance(totals(s, d).select(F.col("row_count").alias("size"))), f"""select round(case when max(row_count) / sum(row_count) <= 0.5 then 1.0 else 2 * (1 - max(row_count) / sum(row_count)) end, 4) as by_largest,
+      round(greatest(0.0, least(1.0, 1 - stddev_pop(row_count) / avg(row_count))), 4) as by_variation from ({_TOTALS})"""),
+    "tbl_zone_sampling": (zone_sampling, f"""select *, case when row_count <= 1000 then row_count else greatest(1000, case when row_count < 1000000 then share else least(share, 100000) end) end::bigint as sample_size exclude_me from (
+      select schema, table_name, row_count, zone, floor(row_count * case zone when 'SENSITIVE' then 100 when 'ARCHIVE' then 5 else 30 end / 100)::bigint share from (select *, {_TZONE} as zone from {CATALOG.sql}))""".replace("select *, case when row_count <= 1000", "select schema, table_name, row_count, zone, case when row_count <= 1000").replace(" exclude_me", "")),
+    "tbl_snapshot_diff": (lambda s, d: tables.snapshot_diff(_NOW.frame(s), _OLD.frame(s)), f"""select coalesce(c.schema, 'public') as schema, c.table_name, case when p.table_name is null then 'new' when c.row_count = p.row_count and c.column_count = p.column_count and c.column_hash = p.column_hash then 'unchanged' else 'modified' end as status
+      from {_NOW.sql} c left join {_OLD.sql} p on coalesce(c.schema, 'public') = coalesce(p.schema, 'public') and c.table_name = p.table_name"""),
+    "tbl_column_hash": (schema_signs, f"""select table_name, substr(sha256(string_agg(name || ':' || type, '|' order by pos)), 1, 32) as column_hash,
+      bool_or(lower(name) in {_CREATED})::int + bool_or(lower(name) in {_UPDATED})::int + bool_or(lower(name) in {_DELETED})::int >= 2 as has_audit_columns,
+      bool_or(name like '%\\_encrypted' escape '\\' or name like '%\\_hash' escape '\\' or (type = 'bytea' and (name like '%encrypted%' or name like '%cipher%' or name like '%\\_enc' escape '\\' or name like 'enc\\_%' escape '\\'))) as has_encryption from {_COLUMNS.sql} group by table_name"""),
+    "source_id": (lambda s, d: _IDS.frame(s).withColumn("source_id", tables.source_id(F.col("db_type"), F.col("host"), F.col("database"))), f"select *, substr(sha256(db_type || '_' || host || '_' || database), 1, 16) as source_id from {_IDS.sql}"),
+    "lineage_view_refs": (lambda s, d: VIEWS.frame(s).select("view_name", F.explode(tables.referenced_tables(F.col("definition"))).alias("table_name")), f"""select distinct view_name, unnest(regexp_extract_all(definition, '(?i)\\b(?:FROM|JOIN)\\s+(?:"?\\w+"?\\.)?"?(\\w+)"?', 1)) as table_name from {VIEWS.sql}"""),
+    "readonly_guard": (lambda s, d: STATEMENTS.frame(s).select("sql", tables.forbidden_word(F.col("sql")).alias("forbidden"), tables.read_only(F.col("sql")).alias("read_only")), f"select sql, {_VERB} as forbidden, {_VERB} is null and starts_with(upper(trim(sql)), 'SELECT') as read_only from {STATEMENTS.sql}"),
+    "catalog_ordered_names": (indexes, "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey"),
+    "catalog_exists_subquery": (_with_exists, EXISTS.format(orders="orders", customer="customer")),
+}
