@@ -1 +1,153 @@
-QUERIES = {}
+"""Governance, directory, application, host, log and report audits over literal and derived tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import metadata as m
+from ..operators.tables import FORBIDDEN
+from ._common import Literal, Query, quote, table
+
+GRANTS = Literal("grantee string, table_name string, privilege_type string", [("audit", "t1", "SELECT"), ("audit", "t2", "SELECT"), ("audit", "t2", "Insert"), ("app", "t1", "SELECT"), ("app", "t1", "UPDATE"), ("PUBLIC", "t1", "SELECT"), ("PUBLIC", "t3", "SELECT"), ("owner", "t1", "DELETE")])
+ROLES = Literal("role string, can_login boolean, is_super boolean", [("audit", True, False), ("app", True, False), ("owner", True, True), ("g1", False, False), ("g2", False, False), ("g3", False, False)])
+TABLES = Literal("table_name string, documented boolean, column_count int, documented_columns int, has_trigger boolean", [("orders", True, 6, 3, True), ("lineitem", False, 11, 0, False), ("audit_log", True, 4, 4, False), ("ml_scores", False, 5, 2, False)])
+COLUMNS = Literal("table_name string, column_name string", [("ml_scores", "score"), ("ml_scores", "run_id"), ("Model_Registry", "name"), ("orders", "o_orderkey"), ("audit_log", "created_at"), ("features", "x")])
+COLLECTIONS = Literal("name string, has_schema boolean, size double", [("users", True, 10.0), ("training_runs", False, 30.0), ("model_data", True, 20.0), ("history", False, 40.0)])
+STORE_USERS = Literal("user string, roles array<string>", [("a", ["read"]), ("b", ["readWrite"]), ("c", ["root"]), ("d", ["read", "dbAdmin"]), ("e", [])])
+
+
+_G, _R, _T, _C = GRANTS.sql, ROLES.sql, TABLES.sql, COLUMNS.sql
+_ML = f"regexp_matches(t, '{m.ML_NAMES}')"
+_ART11 = f"""select round(least(1.0, case when ml > 0 then 0.4 + 0.3 * v / ml else 0 end + case when trail > 0 then 0.3 else 0 end), 4) as ai_act_article11 from (
+  select count_if({_ML}) ml, count_if({_ML} and versioned) v, count_if(regexp_matches(t, '{m.TRAIL_NAMES}')) trail from (
+  select lower(table_name) t, bool_or(lower(column_name) in ({', '.join(map(quote, m.VERSION_COLUMNS))})) versioned from {_C} group by 1))"""
+_roles = lambda rs: "[" + ", ".join(map(quote, rs)) + "]"
+_LOW = f"(select *, lower(name) t from {COLLECTIONS.sql})"
+_STORE = f"""select * from (select round(count_if(has_schema) / count(*), 4) as documentation_coverage, round(least(1.0, case when count_if({_ML}) > 0 then 0.4 + 0.3 * count_if({_ML} and regexp_matches(t, 'experiment|registry|run|version')) / count_if({_ML}) else 0 end
+    + case when count_if(regexp_matches(t, '{m.TRAIL_NAMES}')) > 0 then 0.3 else 0 end), 4) as ai_act_article11 from {_LOW}),
+  (select round(count_if(not list_has_any(roles, {_roles(m.ROOT_ROLES)})) / count(*), 4) as security_compliance, round(count_if(not list_has_any(roles, {_roles(m.WRITE_ROLES)})) / count(*), 4) as access_control from {STORE_USERS.sql}), (select 1.0::double as change_tracking)"""
+
+#: Directory users derived from customers.
+AD_USERS = """select case c_custkey % 6 when 0 then 514 when 1 then 66048 when 2 then 66050 else 512 end as uac, case when c_custkey % 4 = 0 then cast('2024-01-10 08:00:00' as timestamp) when c_custkey % 4 = 1 then cast('2024-06-01 23:00:00' as timestamp) end as last_logon,
+  c_custkey % 10 = 0 as has_spn, c_custkey % 4 <> 3 as in_groups from customer"""
+AS_OF = "2024-06-30"
+
+
+def _ad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(AD_USERS.replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
+    some = lambda c, v: F.when(F.col(c), F.array(F.lit(v)))
+    return rows.withColumns({"spn": some("has_spn", "HTTP/x"), "member_of": some("in_groups", "cn=g")})
+
+
+_DORMANT = f"(uac & 2 = 0 and datediff('day', last_logon::date, date '{AS_OF}') > 90)"
+LDAP_USERS = Literal("dn string, description string", [("uid=a,ou=People", "Active"), ("uid=B,ou=People", "disabled since May"), ("uid=c,ou=ServiceAccounts,dc=x", "Service account; PWD_NO_EXPIRE"), ("uid=d,ou=People", "DORMANT"), ("uid=e,ou=People", "DISABLED"), ("uid=f,ou=People", None)])
+GROUPS = Literal("cn string, member array<string>", [("Domain Admins", ["uid=a,ou=People", "UID=B,ou=people", "cn=admin,dc=x"]), ("Administrators", ["uid=b,ou=people", "uid=q"]), ("staff", [f"uid=u{i}" for i in range(55)]), ("none", ["cn=admin,dc=x"]), ("Schema_Admins", [])])
+_REAL = f"(select cn, list_filter(member, lambda x: not starts_with(x, 'cn=admin,')) real, member from {GROUPS.sql})"
+_D = "upper(coalesce(description, ''))"
+
+#: Application records derived from tables of the folder: entity, source table and its columns.
+APP = {
+    "customers": ("customer", {"name": "c_name", "emails": "case when c_custkey % 3 = 0 then concat('c', cast(c_custkey as varchar(20)), '@x.org') when c_custkey % 3 = 1 then '[]' end", "billing_iban": "case when c_custkey % 5 = 0 then 'FR7630006000011234567890189' else ' ' end", "phone": "case when c_custkey % 2 = 0 then '0' else '0612345678' end"}),
+    "suppliers": ("supplier", {"name": "s_name", "iban": "case when s_suppkey % 4 = 1 then 'DE89370400440532013000' end", "postal_address": "case when s_suppkey % 2 = 0 then '{}' else '1 Main St' end"}),
+    "customer_invoices": ("orders", {"label": "case when o_orderkey % 7 = 0 then '' else concat('Invoice ', cast(o_orderkey as varchar(20))) end"}),
+}
+
+
+def app_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for entity, (source, columns) in APP.items():
+        rows = m.entity_fields(entity, table(spark, sf_dir, source).selectExpr(*[f"{e} as {c}" for c, e in columns.items()]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_EMPTY = "('', '[]', '{}', '0', '0.0', 'false', 'null')"
+_APP_SQL = " union all ".join(
+    f"select '{entity}' as entity, '{c}' as field, '{dict(m.FIELDS[entity])[c]}' as classification, count_if(coalesce(trim({e}) not in {_EMPTY}, false)) as populated_count, count(*) as total_count from {source}"
+    for entity, (source, columns) in APP.items()
+    for c, e in columns.items()
+)
+_APP_SUMMARY = f"""with e as (select entity, sum(populated_count)::bigint n, max(total_count) total, sum(case when classification = 'iban' then populated_count else 0 end)::bigint iban from ({_APP_SQL}) group by entity)
+  select sum(total)::bigint as total_records, sum(n)::bigint as total_pii_values, round(sum(n)::double / sum(total), 4) as density, (select entity from e order by n desc, entity desc limit 1) as highest_risk_entity, sum(iban)::bigint as iban_count, count_if(iban > 0) as bank_data_entities from e"""
+
+DISKS = Literal("rota string, tran string, model string", [("0", "nvme", "X"), ("0", "sata", "Y"), ("1", "sata", "Seagate"), ("1", "sas", "RAID SSD"), (None, "usb", "Fast nvme box"), (None, "usb", None), (None, "usb", "SSD T7")])
+WIN_DISKS = Literal("media string, bus string, model string", [("SSD", "NVMe", "a"), ("4", "SATA", "b"), ("3", "SATA", "c"), ("Unspecified", "NVMe", "d"), ("Unspecified", "USB", "My ssd"), ("0", "USB", "hdd x"), ("0", None, None)])
+LINES = Literal("line string", [("md0 : active raid1 sdb1[1] sda1[0]",), ("md127 : inactive sdc",), ("Personalities : [raid1]",)])
+SPEEDS = Literal("speed string", [("1 Gbps",), ("100 Mbps",), ("2.5 Gbps",), ("fast",), ("10",)])
+SERVICES = Literal("service string", [("VeeamTransport.service",), ("restic-backup.timer",), ("sshd.service",), ("borgmatic",), ("veeamagent",)])
+SECONDS = Literal("seconds int", [(0,), (59,), (60,), (3599,), (3600,), (100_000,)])
+INTERVALS = Literal("interval bigint", [(-36288000000000,), (-1,), (0,), (None,), (864000000000,)])
+RUNS = Literal("connector string, success boolean", [("pg", True), ("pg", False), ("pg", True), ("mysql", True)])
+REPORTS = Literal("source_type string, pii_files int, sensitive int, files_per_second double, pii_tables int", [("files", 150, 2, 3.5, 0), ("files", 5, 0, 0.0, 0), ("database", 0, 0, 0.0, 4), ("database", 500, 9, 1.0, 0)])
+CHECKS = Literal("free_memory bigint, free_disk bigint, last_errors int", [(1 << 30, 1 << 40, 0), (1 << 30, 1 << 40, 3), (1000, 1 << 40, 0), (None, 5, 0), (None, None, 0)])
+
+#: Log lines made of events: some begin a scan, some end it, some count files or fail.
+LOG_LINES = """select user_id % 5 as log_id, event_id as line_no, concat('2024-01-0', cast(1 + event_id % 9 as varchar(20)), ' 10:', lpad(cast(event_id % 60 as varchar(20)), 2, '0'), ':00,123 - INFO - ',
+  case event_id % 8 when 0 then 'Scan started' when 1 then concat('Scanned ', cast(event_id % 500 as varchar(20)), ' files') when 3 then 'Scan completed' when 5 then 'ERROR   disk is full' else 'idle' end) as line from events"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LOG_LINES.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+
+
+_STAMP = "regexp_extract(line, '([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})', 1)"
+_SESSIONS = f"""(with l as (select log_id, line_no, contains(line, 'Scan started') s, contains(line, 'Scan completed') e, {_STAMP}::timestamp ts, try_cast(regexp_extract(line, 'Scanned\\s*([0-9]+)\\s*files', 1) as bigint) files from ({LOG_LINES})),
+    n as (select *, sum(s::int) over (partition by log_id order by line_no) scan from l), c as (select *, coalesce(bool_or(e) over (partition by log_id, scan order by line_no rows between unbounded preceding and 1 preceding), false) done from n where scan > 0),
+    g as (select log_id, scan::bigint as scan, min(case when s then ts end) as started, max(case when e then ts end) as ended, coalesce(arg_max(files, line_no) filter (files is not null), 0) as files from c where not done group by all)
+  select *, case when ended is not null then 'completed' when scan = max(scan) over (partition by log_id) then 'in_progress' else 'interrupted' end as status, (epoch(ended) - epoch(started))::double as seconds,
+    case when epoch(ended) - epoch(started) > 0 and files > 0 then round(files / (epoch(ended) - epoch(started)), 2) end as files_per_second from g)"""
+_AGENT_VALUES = ", ".join(f"('{p}', '{n}')" for p, n in m.AGENTS)
+CONFIGS = Literal("k string, v string", [("host", "db1"), ("Password", "x"), ("api_key", "k"), ("port", "5432"), ("SSL_key", "z")])
+
+
+def _share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, [(["write"], "ann@x.org", None, None, None), (["read"], None, None, "anonymous", None)]), (2, [([], None, "staff", None, None)]), (3, []), (4, [(None, None, None, None, "Sync")])]
+    return m.share_grants(spark.createDataFrame(rows, "item_id int, permissions array<struct<roles:array<string>,user:string,group_name:string,link_scope:string,app:string>>"))
+
+
+_SHARE = "select * from (values (1, 'user', 'ann@x.org', 'write'), (1, 'link', 'link:anonymous', 'read'), (2, 'group', 'staff', 'read'), (4, 'application', 'Sync', 'read')) t(item_id, grant_type, grantee, role)"
+
+
+def _each(literal: Literal, **columns) -> Query:
+    return lambda s, d: literal.frame(s).withColumns({k: f(*[F.col(c) for c, _ in literal.columns]) for k, f in columns.items()})
+
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "governance_documentation": (lambda s, d: m.documentation_coverage(TABLES.frame(s)), f"select round(0.4 * count_if(documented) / count(*) + 0.6 * sum(documented_columns) / sum(column_count), 4) as documentation_coverage from {_T}"),
+    "governance_security": (lambda s, d: m.security_compliance(GRANTS.frame(s), ROLES.frame(s), "audit", True, False), f"""select round(0.2::double + (case when (select bool_or(is_super) from {_R} where role = 'audit') then 0 else 0.25 end) + (case when k <= 1 then 0.2 when k <= 3 then 0.1 else 0 end)
+      + (case when p <= 5 then 0.1 else 0 end) + (case when (select count_if(can_login) from {_R}) >= 3 then 0.1 else 0 end), 4) as security_compliance from (select count(distinct case when grantee = 'audit' then privilege_type end) k, count_if(grantee = 'PUBLIC') p from {_G})"""),
+    "governance_access": (lambda s, d: m.access_control(GRANTS.frame(s), ROLES.frame(s)), f"""select round((case when (select count_if(not can_login) from {_R}) >= 3 then 0.2::double else 0 end) + (case when p = 0 then 0.25 when p <= 5 then 0.1 else 0 end) + (case when k >= 2 then 0.25 else 0 end)
+      + (case when (select avg(n) from (select count(*) n from {_G} where grantee <> 'PUBLIC' group by grantee)) <= 100 then 0.2 else 0 end) + (case when t > 0 then 0.1 else 0 end), 4) as access_control from (select count_if(grantee = 'PUBLIC') p, count(distinct case when grantee <> 'PUBLIC' then privilege_type end) k, count(distinct table_name) t from {_G})"""),
+    "governance_tracking": (lambda s, d: m.change_tracking(TABLES.frame(s)), f"select round(count_if(has_trigger) / count(*), 4) as change_tracking from {_T}"),
+    "governance_models": (lambda s, d: m.model_documentation(COLUMNS.frame(s)), _ART11),
+    "governance_document_store": (lambda s, d: m.document_store(COLLECTIONS.frame(s), STORE_USERS.frame(s), True), _STORE),
+    "permissions_check": (lambda s, d: m.forbidden_permissions(GRANTS.frame(s), "audit", FORBIDDEN), f"select coalesce(string_agg(distinct upper(privilege_type), ',' order by upper(privilege_type)), '') as forbidden, case when count(*) > 0 then 'warning' else 'ok' end as status from {_G} where grantee = 'audit' and upper(privilege_type) in ({', '.join(map(quote, FORBIDDEN))})"),
+    "dir_users_ad": (lambda s, d: m.users_ad(_ad(s, d), AS_OF), f"""select count(*) as total, greatest(0, count(*) - count_if(uac & 2 <> 0) - count_if(coalesce({_DORMANT}, false))) as active, count_if(coalesce({_DORMANT}, false)) as dormant_90d, count_if(has_spn) as service_accounts,
+      count_if(uac & 65536 <> 0) as pwd_no_expire, count_if(uac & 2 <> 0 and in_groups) as disabled_in_groups from ({AD_USERS})"""),
+    "dir_users_ldap": (lambda s, d: m.users_ldap(LDAP_USERS.frame(s), GROUPS.frame(s)), f"""select count(*) as total, greatest(0, count(*) - count_if(contains({_D}, 'DISABLED')) - count_if(contains({_D}, 'DORMANT'))) as active, count_if(contains({_D}, 'DORMANT')) as dormant_90d, count_if(contains(lower(dn), 'ou=serviceaccounts')) as service_accounts,
+      count_if(contains({_D}, 'SERVICE ACCOUNT') or contains({_D}, 'PWD_NO_EXPIRE')) as pwd_no_expire, count_if(contains({_D}, 'DISABLED') and lower(dn) in (select lower(x) from (select unnest(member) x from {GROUPS.sql}))) as disabled_in_groups from {LDAP_USERS.sql}"""),
+    "dir_groups": (lambda s, d: m.groups_summary(GROUPS.frame(s)), f"select count(*) as total, count_if(len(real) = 0) as empty_groups, count_if(len(real) >= 50) as large_groups_50plus from {_REAL}"),
+    "dir_admins": (lambda s, d: m.admins(GROUPS.frame(s), LDAP_USERS.frame(s).agg(F.count("*").alias("n"))), f"""select total_admins, round(total_admins::double / (select count(*) from {LDAP_USERS.sql}), 4) as admin_ratio from (select count(distinct lower(x)) total_admins from (
+      select unnest(real) x from {_REAL} where lower(cn) in ({', '.join(map(quote, m.ADMIN_GROUPS))})))"""),
+    "dir_password_age": (_each(INTERVALS, days=m.filetime_days), f"select *, case when interval < 0 then nullif(-interval // 864000000000, 0) end as days from {INTERVALS.sql}"),
+    "app_entity_pii": (app_fields, _APP_SQL),
+    "app_summary": (lambda s, d: m.app_summary(app_fields(s, d)), _APP_SUMMARY),
+    "infra_disk_class": (_each(DISKS, kind=m.disk_linux), f"""select *, case when tran = 'nvme' then 'NVMe' when rota = '0' then 'SSD' when rota = '1' and regexp_matches(lower(model), 'ssd|nvme') then 'SSD' when rota = '1' then 'HDD' when contains(lower(model), 'ssd') then 'SSD' when contains(lower(model), 'nvme') then 'NVMe' else 'Unknown' end as kind from {DISKS.sql}"""),
+    "infra_disk_windows": (_each(WIN_DISKS, kind=m.disk_windows), f"""select *, case when media in ('4', 'SSD') then case when contains(bus, 'NVMe') then 'NVMe' else 'SSD' end when media in ('3', 'HDD') then 'HDD' when contains(bus, 'NVMe') then 'NVMe' when contains(lower(model), 'ssd') then 'SSD'
+      when contains(lower(model), 'nvme') then 'NVMe' when contains(lower(model), 'hdd') then 'HDD' else 'Unknown' end as kind from {WIN_DISKS.sql}"""),
+    "infra_raid_level": (_each(LINES, level=m.raid_level), f"select *, regexp_extract(line, '^md[^:]*:.*?\\b(raid\\S*)', 1) as level from {LINES.sql}"),
+    "link_speed": (_each(SPEEDS, mbps=m.link_mbps), f"""select *, (case when contains(speed, ' Gbps') then split_part(speed, ' ', 1)::double * 1000 when contains(speed, ' Mbps') then split_part(speed, ' ', 1)::double end)::int as mbps from {SPEEDS.sql}"""),
+    "backup_agents": (lambda s, d: m.backup_agents(SERVICES.frame(s)), f"select distinct n as agent from {SERVICES.sql}, (values {_AGENT_VALUES}) a(p, n) where contains(lower(service), p)"),
+    "eta_format": (_each(SECONDS, eta=m.eta), f"select *, case when seconds < 60 then seconds || 's' when seconds < 3600 then (seconds // 60) || 'm ' || (seconds % 60) || 's' else (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm' end as eta from {SECONDS.sql}"),
+    "config_redaction": (lambda s, d: CONFIGS.frame(s).select("k", m.redact(F.create_map("k", "v"))[F.col("k")].alias("v")), f"select k, case when lower(k) in ({', '.join(map(quote, m.SECRET_KEYS))}) then '***REDACTED***' else v end as v from {CONFIGS.sql}"),
+    "cloud_grants": (_share, _SHARE),
+    "log_sessions": (lambda s, d: m.log_sessions(_log(s, d)), f"select * from {_SESSIONS}"),
+    "log_summary": (lambda s, d: m.log_summary(m.log_sessions(_log(s, d))), f"""select count(*) as total_scans, count_if(status = 'completed') as completed_scans, sum(files)::bigint as total_files, round(coalesce(sum(case when status = 'completed' then seconds end), 0), 2) as total_seconds,
+      case when sum(case when status = 'completed' then seconds end) > 0 then round(sum(files) / sum(case when status = 'completed' then seconds end), 2) else 0.0 end as files_per_second from {_SESSIONS}"""),
+    "log_last_errors": (lambda s, d: m.last_errors(_log(s, d)), f"select log_id, line_no, {_STAMP} as stamp, 'disk is full' as message from ({LOG_LINES}) where contains(line, 'ERROR') qualify row_number() over (partition by log_id order by line_no desc) <= 50"),
+    "alerts": (lambda s, d: m.alerts(REPORTS.frame(s)), f"""select *, array_to_string(list_filter([case when source_type = 'files' and pii_files >= 100 then 'HIGH_PII_RISK' end, case when source_type = 'files' and sensitive > 0 then 'SENSITIVE_PII' end,
+      case when source_type = 'files' and files_per_second > 0 and files_per_second < 10 then 'LOW_PERFORMANCE' end, case when source_type = 'database' and pii_tables > 0 then 'DB_PII_DETECTED' end], lambda x: x is not null), ',') as alerts from {REPORTS.sql}"""),
+    "health": (lambda s, d: m.health(CHECKS.frame(s)), f"select *, case when free_memory <= 536870912 or free_disk <= 1073741824 then 'unhealthy' when last_errors > 0 then 'degraded' else 'healthy' end as status from {CHECKS.sql}"),
+    "connector_health": (lambda s, d: m.connector_health(RUNS.frame(s)), f"select connector, count(*) as runs, round(100 * avg(success::int), 1) as healthy_pct from {RUNS.sql} group by connector"),
+}
