@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
         **extra,
     }
     return SparkSession.builder.master(f"local[{cores}]").appName("riskweave").config(map=conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that all executors share; only a local session may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        base = tempfile.mkdtemp(prefix="riskweave-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
