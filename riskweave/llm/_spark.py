@@ -51,3 +51,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, for the number of fragments."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+#: Rows of a side that is sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Marks a narrow table for broadcast if it has at most BROADCAST_ROWS rows; a larger one is left to the planner. It is computed once."""
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import bounded
 from ._text import Words, chunked
 
 #: Category and how the labels give it, in the order of the chain.
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     picked = known.withColumn("_place", F.row_number().over(Window.partitionBy(*names).orderBy(mark, "doc_id"))).where(F.col("_place") <= rows)
     share = known.groupBy(*names).agg(F.count("*").alias("_all"))
     picked = picked.join(share, names).withColumn("_weight", F.col("_all") / F.least(F.col("_all"), F.lit(rows))).drop("_place", "_all")
+    picked = bounded(picked)  # so that the join leaves the documents where they are
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
