@@ -48,7 +48,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRECISION = 20
 BLOCK, LANES, CHECKPOINT = 8_192, 8, 2_048
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
 _LOW = 1 << 31
 _U = np.uint64
 _STATE = StructType().add("token", IntegerType()).add("word", IntegerType()).add("states", BinaryType())
@@ -256,6 +256,8 @@ def decode(payload: list[bytes], n_tokens: np.ndarray, freq: np.ndarray, begin:
         y = f_all[token] * (x >> _U(precision)) + slot - start[token]
         need = use & (y < _U(_LOW))
         place = at[:, None] + np.cumsum(need, 1) - need
+        if need.any() and place[need].max() >= len(words):
+            raise ValueError("a block ends too early, so it can't match its checksum")
         y[need] = (y[need] << _U(32)) | words[place[need]]
         at += need.sum(1)
         x = np.where(use, y, x)
@@ -277,7 +279,7 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         known = Pieces(SparkFiles.get(name))
         for batch in chunked(batches, limit=CHUNK_BYTES):
             column = batch.column("text")
-            if len(known.keys) > 2_000_000:
+            if len(known.keys) > 1_000_000:
                 known = Pieces(SparkFiles.get(name))  # bounds the memory
             ids, at = tokenize(column, known)
             ids = ids.astype(np.uint32 if wide else np.uint16)
@@ -313,8 +315,8 @@ def output(docs: DataFrame, vocabulary: str = VOCABULARY, precision: int = PRECI
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(first, 2_000)
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
                 raw = batch.column("ids").to_pylist()
                 doc, block, parts = [], [], []
                 for r, b in enumerate(raw):
