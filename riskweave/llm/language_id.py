@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from ._spark import bounded
 from ._text import Words, chunked
 
 ROWS = 800
@@ -191,6 +192,7 @@ def train(docs: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> Model:
     mark = F.xxhash64(F.lit("language"), F.col("doc_id"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id"))
     picked = known.withColumn("_place", place).where(F.col("_place") <= rows).select("doc_id", "lang").distinct()
+    picked = bounded(picked)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
@@ -203,6 +205,8 @@ def train(docs: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> Model:
                 c = np.bincount(slot[np.repeat(owner == j, size)], minlength=_SLOTS)
                 s = np.bincount(script[owner == j], minlength=_OTHER + 1)
                 keys = np.concatenate([np.flatnonzero(c), -1 - np.flatnonzero(s)])
+                if not len(keys):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(keys)), pa.array(keys), pa.array(np.concatenate([c[c > 0], s[s > 0]]))], names=["lang", "key", "n"])
 
     text = docs.select("doc_id", F.col("lang"), F.lower("text").alias("text")).join(picked, ["doc_id", "lang"])
