@@ -166,7 +166,7 @@ def neighbors(vectors: DataFrame, k: int = K, projections: int = PROJECTIONS, ha
     good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("dim", F.size("v"))
     total = good.count()
     parts = -(-total * 9 // (BLOCK * 8)) or 1  # hashed blocks vary in size; this leaves room
-    blocks = checkpoint(_blocks(good.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))))
+    blocks = checkpoint(_blocks(good.withColumn("block", F.col("dim") * F.lit(parts).cast("bigint") + F.pmod(F.xxhash64("vec_id"), F.lit(parts)))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
