@@ -62,9 +62,15 @@ def _names(order: Column) -> Column:
     return F.element_at(F.array(*[F.lit(p.name) for p in PATTERNS]), order + 1)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Moves the rows of a table that comes in fewer partitions than there are cores; the search costs far more than that. A large table stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
+
+
 def raw_matches(docs: DataFrame, key: str, text: str, mode: str = "line", patterns: list[str] | None = None) -> DataFrame:
     """Each valid match: key, line, type_ord, type, pos, value, norm."""
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null")
+    rows = _spread(docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null"))
     if mode == "line":
         rows = rows.select(key, F.posexplode(F.split("_text", "\n")).alias("line", "_text")).where("_text != ''")
     else:
