@@ -8,6 +8,8 @@ import pytest
 
 from riskweave import queries
 
+#: The smallest pages hold no personal data; at sf0.01 they do.
+EMPTY_HERE = {"pii_pages"}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 RUN, SQL = queries.queries(), queries.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,7 +41,7 @@ def test_query(spark, con, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in cols)) for r in cur.fetchall())
-    assert got == want and got
+    assert got == want and (got or name in EMPTY_HERE)
 
 
 def test_entry_point():
