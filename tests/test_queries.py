@@ -8,8 +8,8 @@ import pytest
 
 from riskweave import queries
 
-#: The smallest pages hold no personal data; at sf0.01 they do.
-EMPTY_HERE = {"pii_pages"}
+#: The smallest tables have no row for these; sf0.01 has.
+EMPTY_HERE = {"pii_pages", "pii_toxic_pairs"}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 RUN, SQL = queries.queries(), queries.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
