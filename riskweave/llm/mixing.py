@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpoint
+from ._spark import bounded, checkpoint
 
 SEED = 20240611
 EPOCHS = 2
@@ -140,7 +140,8 @@ def _taken(rows: DataFrame, names: dict[str, str], seed: int) -> DataFrame:
 def _plan(docs: DataFrame, seed: int, epochs: int, target: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     slim = leaf_columns(docs).select(F.col(_P + "domain").alias("domain"), F.col(_P + "lang").alias("lang"), F.col(_P + "source").alias("source"), "doc_id", F.col(_P + "n").alias("n"))
     slim = checkpoint(slim.where("n > 0"))
-    return slim, checkpoint(cutoffs(slim, budgets(slim, epochs, target), seed))
+    # the leaves go to the rows, as a hot leaf's rows must not meet in one task; very many leaves are joined by key
+    return slim, bounded(cutoffs(slim, bounded(budgets(slim, epochs, target)), seed))
 
 
 def select(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
