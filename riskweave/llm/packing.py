@@ -31,14 +31,19 @@ SEED = 7
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, shards: int = SHARDS, with_text: bool = False) -> DataFrame:
     """One row a piece: shard, class, bin (its number in shard and class), slot, doc_id, start and n_tokens; with its text if wanted."""
+    cap = F.lit(capacity).cast("bigint")
     rows = docs.select("doc_id", *(["text"] if with_text else []), n_tokens().alias("n")).where("n > 0")
-    last = F.expr(f"(n - 1) div {capacity}")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    rows = rows.withColumns({"start": F.col("i") * capacity, "n_tokens": F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("i") * capacity)})
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}"))
     if with_text:
-        pieces = F.regexp_extract_all("text", F.lit("[ \\t\\r\\n]*" + TOKEN), F.lit(0))
-        part = F.array_join(F.slice(pieces, (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")), "")
-        rows = rows.withColumn("text", F.when(F.col("n") > capacity, part).otherwise(F.col("text")))
+        # a long text is cut into tokens once, and its pieces leave without the rest
+        cut = lambda tokens: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(tokens, (i * capacity + 1).cast("int"), F.lit(capacity)), "").alias("text")))
+        tokens = F.regexp_extract_all("text", F.lit("[ \\t\\r\\n]*" + TOKEN), F.lit(0))
+        whole = F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.col("text").alias("text")))
+        pieces = F.when(F.col("n") > capacity, F.get(F.transform(F.array(tokens), cut), F.lit(0))).otherwise(whole)
+    else:
+        pieces = F.transform(numbers, lambda i: F.struct(i.alias("i")))
+    rows = rows.select("doc_id", "n", F.explode(pieces).alias("p")).select("doc_id", "n", "p.*")
+    rows = rows.withColumns({"start": F.col("i") * capacity, "n_tokens": F.least(cap, F.col("n") - F.col("i") * capacity)})
     rows = rows.withColumns({
         "class": F.least(F.lit(classes).cast("bigint"), F.lit(capacity).cast("bigint") / F.col("n_tokens")).cast("int"),
         "shard": (seeded_hash(SEED, F.lit(0)) % shards).cast("int"),
