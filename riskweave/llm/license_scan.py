@@ -1,8 +1,16 @@
 """License notices in documents, by an exact set-similarity join with templates.
 
-A text block is a line. A template is found in a block if the block has at least
-CONTAINMENT of the template's words (as sets). All words of the templates are
-put in a global order, rare before frequent, by the number of blocks that have
+A text block is a line, or a passage that goes on over line ends, as a wrapped
+notice does. A template is found in a block if the block has at least CONTAINMENT
+of the template's words (as sets). A passage is found in the lines that don't
+have the template by themselves: it begins and ends with a word of the template
+and is at most ROOM times as long as the template in running words (more than
+once, for words at line starts such as ``dnl``). From the start of a text on, the
+passage that first ends with enough words is taken, with the latest start that it
+can have; it goes on to the last word within its length that the template has and
+it lacks; the next passage of the template begins behind it.
+
+All words of the templates are put in a global order, rare before frequent, by the number of blocks that have
 them in all documents. For a template of n words of which o must be found:
 
 - a block must have at least o words of the templates (length filter);
@@ -11,11 +19,13 @@ them in all documents. For a template of n words of which o must be found:
 - this word must leave room for the rest, so it must not be among the o - 1 most
   frequent words of the block either (positional filter).
 
-What passes is counted exactly. The templates are a small fixed table and go to
+Around a word of the prefix, a passage lies within its length, and so many words
+of the template must be there and on more than one line; only such places are
+looked at. What passes is counted exactly. The templates are a small fixed table and go to
 the tasks with the function.
 
-The result has a row for each block and template: doc_id, block (line number from
-0), template, overlap and containment, rounded to six places.
+The result has a row for each block and template: doc_id, block (number from
+0 of its line, or of the first of its lines), template, overlap and containment, rounded to six places.
 
 Defined cases: a null text has no blocks; rows whose doc_id is null are scanned
 and give a null doc_id; repeated rows give repeated results; a template without
@@ -36,6 +46,10 @@ from ._text import Words, chunked
 
 #: The threshold as a fraction.
 CONTAINMENT = (4, 5)
+#: How long a passage over several lines may be, as a fraction of the template's running words.
+ROOM = (3, 2)
+#: Words of a template in a batch whose passages are sought at once.
+_ROWS = 100_000
 TEMPLATES: dict[str, str] = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -67,6 +81,7 @@ class Index:
         self.member[words.doc, index] = True
         self.size = self.member.sum(1)
         self.need = np.maximum(-((-self.size * containment[0]) // containment[1]), 1)
+        self.reach = -((-words.counts * ROOM[0]) // ROOM[1])
 
     def order(self, frequency: np.ndarray) -> None:
         """Sets the rank of each term, and the templates of which it is in the prefix."""
@@ -78,24 +93,82 @@ class Index:
         self.by_rank = np.zeros_like(self.member)
         self.by_rank[:, self.rank] = self.member
 
+    def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, line, term) of the template words in a batch; words and lines are numbered through the batch."""
+        if not hasattr(words, "_occurrences"):
+            h = words.hash
+            at = np.minimum(np.searchsorted(self.terms, h), max(len(self.terms) - 1, 0))
+            hit = np.flatnonzero(self.terms[at] == h) if len(self.terms) else np.zeros(0, np.int64)
+            words._occurrences = hit, np.searchsorted(self.breaks(words), words.begin[hit], "right"), at[hit]
+        return words._occurrences
+
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(block, term) of the template words in a batch; blocks are numbered through the batch."""
-        h = words.hash
-        at = np.minimum(np.searchsorted(self.terms, h), max(len(self.terms) - 1, 0))
-        hit = np.flatnonzero(self.terms[at] == h) if len(self.terms) else np.zeros(0, np.int64)
-        block = np.searchsorted(self.breaks(words), words.begin[hit], "right")
-        code = np.unique(block * len(self.terms) + at[hit])
+        """(line, term) of the template words in a batch, each once."""
+        _, line, term = self.occurrences(words)
+        code = np.unique(line * len(self.terms) + term)
         return code // max(len(self.terms), 1), code % max(len(self.terms), 1)
 
     @staticmethod
     def breaks(words: Words) -> np.ndarray:
-        """Byte positions at which a block of the batch begins, but the first: after each line end and with each text."""
+        """Byte positions at which a line of the batch begins, but the first: after each line end and with each text."""
         if not hasattr(words, "_breaks"):
             words._breaks = np.sort(np.concatenate([np.flatnonzero(words.data == 10) + 1, words.at[1:-1]]), kind="stable")
         return words._breaks
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(block, template, overlap) of all that meet the threshold."""
+        """(block, template, overlap) of all lines and passages that meet the threshold."""
+        lines = self.lines(words)
+        return tuple(map(np.concatenate, zip(lines, self.passages(words, *lines[:2]), strict=True)))
+
+    def passages(self, words: Words, full: np.ndarray, having: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first line, template, overlap) over several lines, but those that have the template by themselves (full, having)."""
+        word, line, term = self.occurrences(words)
+        doc = np.searchsorted(words.first, word, "right") - 1
+        left, right = np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+        rank = self.rank[term]
+        number = self.lists[rank + 1] - self.lists[rank]
+        seed, template = np.repeat(np.arange(len(word)), number), self.listed[B.take_runs(self.lists, rank)]
+        low = np.maximum(np.searchsorted(word, word[seed] - self.reach[template], "right"), left[seed])
+        high = np.minimum(np.searchsorted(word, word[seed] + self.reach[template]), right[seed])
+        near = (high - low >= self.need[template]) & (line[high - 1] > line[low])
+        template, low, high = template[near], low[near], high[near]
+        found: list[tuple[int, int, int]] = []
+        for t in np.unique(template).tolist():
+            need, reach = int(self.need[t]), int(self.reach[t])
+            own = self.member[t][term] & ~np.isin(line, full[having == t])
+            sums, mine = B.spans(own), template == t
+            a, b = low[mine], high[mine]
+            enough = sums[b] - sums[a] >= need
+            cover = np.zeros(len(word) + 1, np.int64)
+            np.add.at(cover, a[enough], 1)
+            np.add.at(cover, b[enough], -1)
+            hit = np.flatnonzero(own & (np.cumsum(cover[:-1]) > 0))
+            w, d, slot = word[hit], doc[hit], (np.cumsum(self.member[t]) - 1)[term[hit]]
+            free = 0  # the first that no passage has
+            for begin in range(0, len(hit), _ROWS):
+                base = max(begin - reach, 0)
+                some = np.arange(base, min(begin + _ROWS, len(hit)))
+                # for each place and word, the last place so far that has the word; the need-th latest of these is the latest start
+                last = np.full((len(some), self.size[t]), -1, np.int64)
+                last[some - base, slot[some]] = some
+                np.maximum.accumulate(last, axis=0, out=last)
+                start = np.partition(last, self.size[t] - need, axis=1)[:, self.size[t] - need]
+                good = (some >= begin) & (start >= 0) & (d[start] == d[some]) & (w[some] - w[start] < reach)
+                for i, j in zip(start[good].tolist(), some[good].tolist(), strict=True):
+                    if i < free:
+                        continue
+                    has = set(slot[i : j + 1].tolist())
+                    free = k = j + 1
+                    while k < len(hit) and d[k] == d[i] and w[k] - w[i] < reach:
+                        if slot[k] not in has:
+                            has.add(int(slot[k]))
+                            free = k + 1
+                        k += 1
+                    found.append((int(line[hit[i]]), t, len(has)))
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+    def lines(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, template, overlap) of all lines that meet the threshold."""
         block, term = self.hits(words)
         rank = self.rank[term]
         o = np.lexsort((rank, block))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -253,3 +254,44 @@ def test_license_scan(docs, none):
     got = {(r.doc_id, r.block, r.template) for r in license_scan.scan(docs).collect()}
     assert {(10, 0, "mit"), (8, 0, "mit"), (8, 2, "apache-2.0")} <= got and {g[0] for g in got} == {8, 10}
     assert license_scan.scan(none).count() == 0 and license_scan.scan(docs, {"empty": "..."}).count() == 0
+
+
+@pytest.mark.parametrize("width", [72, 40, 20])
+def test_license_scan_finds_wrapped_notices(spark, width):
+    names = list(license_scan.TEMPLATES)
+    texts = ["x = 1\n\n" + "\n".join(" * " + line for line in textwrap.wrap("Notice: " + license_scan.TEMPLATES[n], width)) + "\n\ncode" for n in names]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {n for i, n in enumerate(names) if any((r.doc_id, r.template) == (i, n) and r.block in (2, 3) for r in got)} == set(names)
+
+
+def passages(text, template, least=4 / 5):
+    """By brute force: (block, overlap) of the lines and of the passages over lines."""
+    lines = [line.split() for line in text.split("\n")]
+    words, length = set(template.split()), -(-len(template.split()) * 3 // 2)
+    full = {i for i, line in enumerate(lines) if len(words & set(line)) >= least * len(words)}
+    out = [(i, len(words & set(lines[i]))) for i in sorted(full)]
+    flat = [(i, w) for i, line in enumerate(lines) for w in line]
+    own = [(n, i, w) for n, (i, w) in enumerate(flat) if w in words and i not in full]
+    free = j = 0
+    while j < len(own):
+        starts = [i for i in range(free, j + 1) if own[j][0] - own[i][0] < length and len({w for *_, w in own[i : j + 1]}) >= least * len(words)]
+        j += 1
+        if starts:
+            i, has = starts[-1], {w for *_, w in own[starts[-1] : j]}
+            free = j
+            for k in range(j, len(own)):
+                if own[k][0] - own[i][0] < length and own[k][2] not in has:
+                    has, free = has | {own[k][2]}, k + 1
+            out.append((own[i][1], len(has)))
+            j = free
+    return out
+
+
+def test_license_passages(spark):
+    rng = random.Random(5)
+    templates = {f"t{i}": " ".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for i in range(6)}
+    texts = ["".join(rng.choice("abcdefghxy") + rng.choice([" ", " ", "\n", "\n\n"]) for _ in range(rng.choice([0, 5, 60, 200]))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r.doc_id, r.template, r.block, r.overlap) for r in license_scan.scan(docs, templates).collect())
+    want = sorted((i, t, b, n) for i, x in enumerate(texts) for t, words in templates.items() for b, n in passages(x, words))
+    assert got == want and len(want) > 100
