@@ -124,6 +124,19 @@ def cells(table: DataFrame, columns: list[str]) -> DataFrame:
     return long.where("v is not null").withColumn("pii_type", cell_type(F.col("v"))).where("pii_type is not null").groupBy("column_name", "pii_type").agg(F.count("*").alias("cells"))
 
 
+def all_cells(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, pii_type and the number of cells, over every string column of all rows of the tables."""
+    parts = []
+    for name, rows in tables.items():
+        own = [c for c, kind in rows.dtypes if kind == "string"]
+        if own:
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in own]))
+            parts.append(rows.select(F.lit(name).alias("table_name"), each.alias("x")).select("table_name", "x.*").where("v is not null"))
+    # as a generator, the search stays above the union; else each table would have its own copy of it to compile
+    found = reduce(DataFrame.unionAll, parts).select("table_name", "column_name", F.explode(F.array(cell_type(F.col("v")))).alias("pii_type"))
+    return found.where("pii_type is not null").groupBy("table_name", "column_name", "pii_type").agg(F.count("*").alias("cells"))
+
+
 #: Words in a column's name and the class that they mean, first hit wins.
 NAME_CLASSES = (("email", "mail", "email"), ("phone", "tel", "phone", "mobile"), ("ssn", "ssn", "secu", "social"), ("iban", "card", "account", "iban"), ("address", "city", "street", "address"))
 

@@ -117,7 +117,7 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables whose column names or cells hold personal data."""
+    """Nine tables by their column names, and the contacts by names and cells; ``all_tables`` has every table by both."""
     names = _columns(spark, sf_dir).withColumn("pii_type", pii.column_class(F.col("column_name"))).where("pii_type is not null").select("table_name", "column_name", "pii_type")
     found = names.unionByName(cell_columns(spark, sf_dir).select(F.lit("contacts").alias("table_name"), "column_name", "pii_type"))
     return found.groupBy("table_name").agg(F.concat_ws(",", F.array_sort(F.collect_set("pii_type"))).alias("pii_types"), F.concat_ws(",", F.array_sort(F.collect_set("column_name"))).alias("pii_columns"))
@@ -128,6 +128,44 @@ _ALL_COLUMNS = " union all ".join([f"select '{t}' as table_name, column_name fro
 _SUMMARY_SQL = f"""select table_name, string_agg(distinct pii_type, ',' order by pii_type) as pii_types, string_agg(distinct column_name, ',' order by column_name) as pii_columns from (
   select table_name, column_name, {_CLASS_SQL} as pii_type from ({_ALL_COLUMNS}) union all select 'contacts', column_name, pii_type from ({_CELL_SQL})) where pii_type is not null group by table_name"""
 
+#: Every table of a folder, with its string columns for the SQL; the query takes them from the tables.
+_STRINGS = {
+    "region": ("r_name",), "nation": ("n_name",), "customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"),
+    "orders": ("o_orderstatus", "o_orderpriority"), "lineitem": ("l_returnflag", "l_linestatus"), "events": ("event_type", "props"), "documents": ("text", "lang", "source"),
+    "embeddings": (), "pages": ("url", "html"), "benchmark": ("text",), "labels": (), "conversations": ("role", "text"),
+}
+
+
+def _every_table(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t) for t in _STRINGS} | {"contacts": _contacts(spark, sf_dir)}
+
+
+def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.all_cells(_every_table(spark, sf_dir))
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose column names or cells hold personal data."""
+    every = _every_table(spark, sf_dir)
+    columns = spark.createDataFrame([(t, c) for t, rows in every.items() for c in rows.columns], "table_name string, column_name string")
+    names = columns.withColumn("pii_type", pii.column_class(F.col("column_name"))).where("pii_type is not null")
+    found = names.unionByName(pii.all_cells(every).drop("cells"))
+    return found.groupBy("table_name").agg(F.concat_ws(",", F.array_sort(F.collect_set("pii_type"))).alias("pii_types"), F.concat_ws(",", F.array_sort(F.collect_set("column_name"))).alias("pii_columns"))
+
+
+def _every_cell_case() -> str:
+    def hit(p) -> str:
+        return f"regexp_matches(t, {quote(p.re2 or p.regex)})" + (f" and {valid_sql(p.validator, 'v')}" if p.validator else "")
+
+    return "case " + " ".join(f"when {hit(p)} then {quote(p.name)}" for p in PATTERNS) + " end"
+
+
+_EVERY_CELL = " union all ".join(f"select {quote(t)} as table_name, {quote(c)} as column_name, {c} as v from {'(' + CONTACTS + ')' if t == 'contacts' else t}" for t, own in {**_STRINGS, "contacts": _CELL_COLUMNS}.items() for c in own)
+_ALL_CELLS_SQL = f"select table_name, column_name, pii_type, count(*) as cells from (select table_name, column_name, {_every_cell_case()} as pii_type from (select *, {_TEXT.format('v')} t from ({_EVERY_CELL}) where v is not null)) where pii_type is not null group by all"
+_EVERY_COLUMN = " union all ".join([f"select '{t}' as table_name, column_name from (describe {t})" for t in _STRINGS] + [f"select 'contacts' as table_name, unnest([{', '.join(map(quote, ['c_custkey', *_CELL_COLUMNS]))}]) as column_name"])
+_ALL_TABLES_SQL = f"""select table_name, string_agg(distinct pii_type, ',' order by pii_type) as pii_types, string_agg(distinct column_name, ',' order by column_name) as pii_columns from (
+  select table_name, column_name, {_CLASS_SQL} as pii_type from ({_EVERY_COLUMN}) union all select table_name, column_name, pii_type from ({_ALL_CELLS_SQL})) where pii_type is not null group by table_name"""
+
 #: Identifier-like strings derived from order keys, the same in both engines.
 _K = "(o_orderkey * 7919 + 123456789)"
 IDENTIFIER_SQL = {
@@ -191,6 +229,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "pii_toxic_pairs": (toxic_pairs, f"""with t as (select distinct doc_id, type from {_LINE}) select a.type as type_a, b.type as type_b, count(*) as documents from t a join t b on a.doc_id = b.doc_id and a.type < b.type group by all"""),
     "pii_cell_columns": (cell_columns, _CELL_SQL),
     "pii_table_summary": (table_summary, _SUMMARY_SQL),
+    "pii_all_cells": (all_cells, _ALL_CELLS_SQL),
+    "pii_all_tables": (all_tables, _ALL_TABLES_SQL),
     **{f"valid_{k}": valid(k) for k in VALIDATORS},
     "native_flags_density": (native_flags, _flags_sql()),
 }

@@ -107,6 +107,19 @@ def test_cells(spark):
     assert [r[0] for r in names.select(pii.column_class(F.col("n"))).collect()] == ["email", "phone", "ssn", "iban", "address", None]
 
 
+def test_all_cells(spark):
+    one = spark.createDataFrame([(1, "see a@example.org", "x"), (2, None, "987-65-4321"), (3, "b@example.org", None)], "id int, text string, `odd name` string")
+    got = pii.all_cells({"one": one, "two": one.select("id"), "three": one.select("text")}).collect()
+    assert {tuple(r) for r in got} == {("one", "text", "email", 2), ("one", "odd name", "ssn_us", 1), ("three", "text", "email", 2)}
+
+
+def test_all_tables_search_every_string_column(spark):
+    from riskweave.queries.pii import QUERIES
+
+    got = {r.table_name: r for r in QUERIES["pii_all_tables"][0](spark, "/root/testdata/sf0.01").collect()}
+    assert "text" in got["documents"].pii_columns.split(",") and "email" in got["documents"].pii_types.split(",") and "contacts" in got
+
+
 def test_previews_are_masked_and_few(spark):
     docs = _docs(spark, "\n".join(f"user{i}@example.com" for i in range(25)))
     rows = pii.previews(pii.matches(docs, "doc_id", "text"), "doc_id").collect()
