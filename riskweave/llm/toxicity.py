@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     names = [c for c, _ in categories]
     values = [F.expr(e).cast("int").alias(c) for c, e in categories]
     known = labels.select("doc_id", *values).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # a label without its document mustn't use up the bound
     mark = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     picked = known.withColumn("_place", F.row_number().over(Window.partitionBy(*names).orderBy(mark, "doc_id"))).where(F.col("_place") <= rows)
     share = known.groupBy(*names).agg(F.count("*").alias("_all"))

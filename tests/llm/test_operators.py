@@ -295,3 +295,11 @@ def test_license_passages(spark):
     got = sorted((r.doc_id, r.template, r.block, r.overlap) for r in license_scan.scan(docs, templates).collect())
     want = sorted((i, t, b, n) for i, x in enumerate(texts) for t, words in templates.items() for b, n in passages(x, words))
     assert got == want and len(want) > 100
+
+
+def test_labels_without_documents_take_no_place(spark):
+    texts = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words number{i}") for i in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2, i % 2) for i in range(6000)], "doc_id bigint, quality int, toxic int")
+    here = toxicity.train(texts, labels.where("doc_id < 300"), rows=60)
+    both = toxicity.train(texts, labels, rows=60)
+    assert [(list(m.hashes), m.bias) for m in here] == [(list(m.hashes), m.bias) for m in both] and len(here[-1].hashes)
