@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,23 @@ def bounded(df: DataFrame) -> DataFrame:
     """Marks a narrow table for broadcast if it has at most BROADCAST_ROWS rows; a larger one is left to the planner. It is computed once."""
     kept = checkpoint(df)
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def integer_ids(df: DataFrame, column: str) -> Column:
+    """The identifier as a bigint: itself where its type is an integer, else a 64-bit hash; null stays null."""
+    own = dict(df.dtypes)[column] in _INTEGERS
+    return F.col(column).cast("bigint") if own else F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column)))
+
+
+def named_ids(found: DataFrame, source: DataFrame, column: str, columns: list[str]) -> DataFrame:
+    """Puts the identifiers of ``source`` back into columns that hold ``integer_ids`` of them."""
+    if dict(source.dtypes)[column] in _INTEGERS:
+        return found
+    names = source.where(F.col(column).isNotNull()).select(F.col(column).alias("_name"), integer_ids(source, column).alias("_id")).distinct()
+    out = found
+    for c in columns:
+        out = out.join(names.select(F.col("_id").alias(c), F.col("_name").alias(f"_name_{c}")), c, "left")
+    return out.select(*[F.col(f"_name_{c}").alias(c) if c in columns else F.col(c) for c in found.columns])

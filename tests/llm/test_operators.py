@@ -165,25 +165,62 @@ def test_substring_dedup_against_brute_force(spark):
     assert {d: t.split() for d, t in got.items()} == {d: [x for i, x in enumerate(w) if i not in want[d]] for d, w in words.items()}
 
 
+def plain_neighbours(x, q, k=ann.K):
+    """By brute force: the k vectors whose larger one of distance and reach is least, in the order of distance."""
+    lines = ann.directions(x.shape[1], ann.PROJECTIONS)
+    need = ann.threshold(ann.PROJECTIONS, ann.HALF_WIDTH, ann.CONFIDENCE)
+    p = x.astype(float) @ lines
+    d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+    reach = np.sort(np.abs(p - p[q]), axis=1)[:, need - 1] / ann.HALF_WIDTH
+    radius = np.maximum(d, reach)
+    radius[q] = np.inf
+    o = np.lexsort((np.arange(len(x)), d, radius))[:k]
+    return o[np.lexsort((o, d[o].round(12)))], np.sort(d[np.arange(len(x)) != q])[k - 1]
+
+
 def test_nearest_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 64)
-    monkeypatch.setattr(ann, "QUERIES", 32)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[50:80] = x[50]
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(0, x[0].tolist(), 1), (900, None, 1), (None, x[1].tolist(), 1), (901, [], 1), (902, [1.0, 2.0], 1), (903, [float("nan")] * 16, 1), (904, [None] * 16, 1)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, rank int")
-    got = ann.neighbors(df).toPandas()
+    whole = ann.neighbors(df).toPandas().sort_values(["vec_id", "rank"]).reset_index(drop=True)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERIES", 32)
+    monkeypatch.setattr(ann, "GROUP_BYTES", 4096)
+    got = ann.neighbors(df, sample=40).toPandas().sort_values(["vec_id", "rank"]).reset_index(drop=True)
+    assert whole.equals(got)  # however the vectors are split
     assert set(got.vec_id) == set(range(300)) and (got.groupby("vec_id").size() == 10).all()
     hit = 0
     for v, g in got.groupby("vec_id"):
-        d = ((x.astype(float) - x[v]) ** 2).sum(1)
-        d[v] = np.inf
-        o = np.lexsort((np.arange(300), d))[:10]
-        hit += (np.sqrt(d[g.neighbor]) <= np.sqrt(d[o[-1]]) + 1e-6).sum()
+        want, kth = plain_neighbours(x, v)
+        assert sorted(g.neighbor) == sorted(want) or np.allclose(np.sort(g.distance), np.sort(np.sqrt(((x[want].astype(float) - x[v]) ** 2).sum(1))), atol=1e-5)
+        hit += (g.distance <= kth + 1e-5).sum()
         assert v not in set(g.neighbor)
     assert hit / 3000 >= 0.9
-    assert ann.neighbors(df.limit(0)).count() == 0
+    assert ann.neighbors(df.limit(0)).count() == 0 and ann.neighbors(df, df.limit(0)).count() == 0
+    some = ann.neighbors(df, df.where("vec_id % 20 = 0")).toPandas()
+    assert some.sort_values(["vec_id", "rank"]).reset_index(drop=True).equals(whole[whole.vec_id % 20 == 0].reset_index(drop=True))
+    named = df.where("vec_id < 40").withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
+    assert {r.vec_id for r in ann.neighbors(named).collect()} == {f"v{i}" for i in range(40)}
+
+
+def test_distances_are_computed_after_collisions(spark):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    x, ids = np.stack(data.embedding.values).astype(np.float32), data.vec_id.to_numpy().astype(np.int64)
+    lines, need = ann.directions(x.shape[1], ann.PROJECTIONS), ann.threshold(ann.PROJECTIONS, ann.HALF_WIDTH, ann.CONFIDENCE)
+    search = ann.Search(ids[::20], x[::20], np.full(len(ids[::20]), np.inf), lines, ann.K, ann.HALF_WIDTH, need)
+    search.visit(ann.Arrays(ids[:500], x[:500], lines))
+    before = search.verified
+    for a in range(500, len(ids), 500):
+        search.visit(ann.Arrays(ids[a : a + 500], x[a : a + 500], lines))
+    assert search.verified - before < len(ids[::20]) * 1500 / 3  # the share falls as the bound does with more vectors
+    hits = 0
+    for j, i in enumerate(range(0, len(ids), 20)):
+        d = np.sqrt(((x.astype(float) - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hits += (search.best[j][1] <= np.sort(d)[ann.K - 1] + 1e-9).sum()
+    assert hits / (len(search.best) * ann.K) >= 0.9
 
 
 def test_chain_on_held_out_rows(spark):
