@@ -1,7 +1,9 @@
 """Self-join of documents on the Jaccard similarity of their n-gram sets, by vertical partitioning.
 
 A document's set is that of its runs of N words (all of its words together
-where it has fewer). Every pair with |A & B| / |A | B| >= threshold is found:
+where it has fewer). Documents with equal sets are one vertex throughout,
+however many they are, and stand for one another; so copies are never expanded
+into pairs. Every pair of vertices with |A & B| / |A | B| >= threshold is found:
 
 1. The hash order of n-grams is cut into fragments. Each fragment counts by
    itself in how many different sets a gram occurs; grams of one set alone
@@ -9,21 +11,37 @@ where it has fewer). Every pair with |A & B| / |A | B| >= threshold is found:
    of a set is shared at all, and sets that share too little for any partner drop out.
 2. The remaining grams are put in a global order, rare before frequent, which is
    cut into fragments of equal size. Two similar sets must share a gram among
-   the first of each (prefix filter) and have sizes within the threshold, which
-   gives the candidate pairs.
-3. Each fragment counts the overlap of its candidates separately; the counts
-   are summed for each pair and compared with the threshold exactly.
-
-Documents with equal sets are one vertex throughout, however many they are.
-No candidate, partner or gram is capped.
-
-Defined cases: a text that is null or has no words has an empty set and no
-partner; a row whose doc_id is null has no partner in the pairs, and ``deduplicate``
-keeps it unless another row has an equal or similar set, where the least doc_id
-stays and null counts as the last; rows that repeat a doc_id never pair with
-each other, and a pair of doc_ids is given once for each pair of different sets;
-an empty table gives no pairs; extra columns are ignored by the join and kept by
-``deduplicate``, whatever their names.
+   the first of each (prefix filter) and have sizes within the threshold. Each
+   fragment counts by itself how many grams of it the prefixes of two sets share.
+   A fragment whose lists are so long that they make too many pairs is split
+   into parts of its sets, each two of which meet in a task of their own.
+3. The counts are summed for each pair. What two sets can share behind their
+   prefixes is bounded; pairs that cannot reach the threshold drop out.
+4. The pairs left are cut into cells of bounded size, of which each has pairs
+   that have sets in common, and the global order into PARTS parts. Each part of
+   each cell counts the overlap of its pairs; the counts are summed for each pair
+   and compared with the threshold exactly.
+
+No candidate, partner or gram is capped. Grams and sets are known by 64 bits of
+a hash, at every size of the input: the overlap of a pair is wrong with a
+probability of at most |A| * |B| / 2**64, and the sets of two given documents
+are taken as equal with one of 2**-64.
+
+``classes`` has one row for each document: its class (all documents that are
+linked, directly or through others, by the least of their doc_ids) with the
+number of its copies and of its links to different sets. ``vertex_pairs`` has
+the links themselves, and ``members`` the documents of each vertex.
+
+Defined cases: a text that is null or has no words has an empty set, no copy and
+no link, and is a class of its own; a row whose doc_id is null is a document
+like others, and its class has a null id only where no document of it has an id;
+rows that repeat doc_id and set are one document, and rows that repeat only
+doc_id are documents of their own; ``deduplicate`` keeps of each class the
+document of the least doc_id (null counts as the last), all rows without words,
+and of rows that repeat doc_id and set the one whose text has the least hash;
+ties of doc_id go by the set's hash; identifiers may be of any type that has an
+order; an empty table gives no rows; extra columns are ignored by ``classes`` and
+kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _blocks as B
-from ._spark import checkpoint, text_bytes
+from ._spark import checkpoint, ship, text_bytes
 from ._text import Words, chunked, mix
 
 N = 3
@@ -45,9 +63,12 @@ THRESHOLD = (1, 2)
 #: Text bytes whose grams make a fragment of the first step, and grams in one of the later steps.
 FRAGMENT_BYTES = 32 << 20
 FRAGMENT_GRAMS = 6_000_000
+#: Pairs that a task of the second step may go through, pairs and grams in a cell of the last step, sets of a hot cell, and parts of the order there.
+TASK_PAIRS = 200_000_000
+CELL_PAIRS, CELL_GRAMS, CELL_SETS, PARTS = 200_000, 4_000_000, 10_000, 2
 _U = np.uint64
 _BANDS = 64
-_SURVIVORS = "sig binary, size binary, count binary, prefix binary, key binary, band binary, hist array<bigint>"
+_SURVIVORS = "sig binary, size binary, count binary, prefix binary, key binary, band binary, hist array<bigint>, work array<bigint>"
 
 
 def _need(size: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -86,28 +107,28 @@ def _members(docs: DataFrame, n: int, columns: list[str]) -> DataFrame:
 
 def _vertices(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Blocks of the sets that share enough grams with others, each in the global order."""
-    bits = B.fragment_bits(text_bytes(docs), FRAGMENT_BYTES)
+    number = B.fragments(text_bytes(docs), FRAGMENT_BYTES)
+    label = B.labels(number)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             g, doc, sig, size = _sets(batch.column("text"), n)
             if not len(g):
                 continue
-            fragment = B.fragment_of(g, bits)
+            fragment = B.fragment_of(g, number)
             o = B.sort_by(fragment)
             g, doc, fragment = g[o], doc[o], fragment[o]
             at = np.append(np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])), len(g))
             out: list[list] = [[], [], [], [], []]
             for a, b in zip(at[:-1], at[1:]):
                 own, count = np.unique(doc[a:b], return_counts=True)
-                for to, x in zip(out, (int(fragment[a]), sig[own].tobytes(), size[own].tobytes(), count.astype(np.uint32).tobytes(), B.pack48(g[a:b], bits))):
+                for to, x in zip(out, (int(label[fragment[a]]), sig[own].tobytes(), size[own].tobytes(), count.astype(np.uint32).tobytes(), g[a:b].tobytes())):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["fragment", "sig", "size", "count", "key"])
 
     def shared(table: pa.Table) -> pa.Table:
-        fragment = table.column("fragment")[0].as_py()
         sig, size, count = B.joined(table.column("sig"), np.uint64), B.joined(table.column("size"), np.uint32), B.joined(table.column("count"), np.uint32)
-        key, at = B.unpack48(table.column("key").to_pylist()), B.spans(count)
+        key, at = B.joined(table.column("key"), np.uint64), B.spans(count)
         sig, first = np.unique(sig, return_index=True)  # an equal set has an equal segment here
         key, size, count = key[B.take_runs(at, first)], size[first], count[first]
         o = np.argsort(key)
@@ -118,14 +139,14 @@ def _vertices(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         del o, k
         keep = df > 1
         count = np.add.reduceat(keep, B.spans(count)[:-1], dtype=np.uint32)
-        key = mix(key[keep] ^ mix(np.full(1, fragment + 1, np.uint64)))
+        key = mix(key[keep])  # within a fragment the first bits are the same
         band = np.ceil(np.log2(df[keep])).astype(np.uint8)
         some = count > 0
         sig, size, count = sig[some], size[some], count[some]
-        bucket = B.fragment_of(sig, bits)
+        bucket = B.fragment_of(sig, number)
         cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
         at = B.spans(count)
-        rows = [(int(bucket[a]), sig[a:b].tobytes(), size[a:b].tobytes(), count[a:b].tobytes(), key[at[a] : at[b]].tobytes(), band[at[a] : at[b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        rows = [(int(label[bucket[a]]), sig[a:b].tobytes(), size[a:b].tobytes(), count[a:b].tobytes(), key[at[a] : at[b]].tobytes(), band[at[a] : at[b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
         kinds = [pa.int32(), *[pa.binary()] * 5]
         return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=["bucket", "sig", "size", "count", "key", "band"])
 
@@ -144,55 +165,73 @@ def _vertices(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         vertex = np.repeat(np.arange(len(live)), total[live])
         o = np.lexsort((key, band, vertex))
         key, band = key[o], band[o]
-        hist = np.bincount(band, minlength=_BANDS).tolist()
+        inside = np.arange(len(key)) - np.repeat(B.spans(total[live])[:-1], total[live])
+        first_band = band[inside < np.repeat((total - need + 1)[live], total[live])]
+        hist, work = np.bincount(band, minlength=_BANDS).tolist(), np.bincount(first_band, minlength=_BANDS).tolist()
         row = (own[live].tobytes(), size[live].tobytes(), total[live].astype(np.uint32).tobytes(), (total - need + 1)[live].astype(np.uint32).tobytes(), key.tobytes(), band.tobytes())
-        return pa.table([*[pa.array([x] if len(live) else [], pa.binary()) for x in row], pa.array([hist] if len(live) else [], pa.list_(pa.int64()))], names=["sig", "size", "count", "prefix", "key", "band", "hist"])
+        return pa.table([*[pa.array([x] if len(live) else [], pa.binary()) for x in row], *[pa.array([x] if len(live) else [], pa.list_(pa.int64())) for x in (hist, work)]], names=["sig", "size", "count", "prefix", "key", "band", "hist", "work"])
 
     blocks = docs.select(F.lower("text").alias("text")).mapInArrow(write, "fragment int, sig binary, size binary, count binary, key binary")
-    blocks = blocks.groupBy("fragment").applyInArrow(shared, "bucket int, sig binary, size binary, count binary, key binary, band binary")
-    return checkpoint(blocks.groupBy("bucket").applyInArrow(survive, _SURVIVORS))
+    blocks = blocks.repartition(number, "fragment").groupBy("fragment").applyInArrow(shared, "bucket int, sig binary, size binary, count binary, key binary, band binary")
+    return checkpoint(blocks.repartition(number, "bucket").groupBy("bucket").applyInArrow(survive, _SURVIVORS))
 
 
 def vertex_pairs(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Pairs of different sets: a, b (signatures), size_a, size_b and overlap."""
+    ship(docs.sparkSession)
     vertices = _vertices(docs, n, threshold)
-    hist = np.zeros(_BANDS, np.int64)
-    for band, number in vertices.select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col")).collect():
-        hist[band] = number
-    below, number = np.cumsum(hist) - hist, hist
+    hist, prefixes = np.zeros(_BANDS, np.int64), np.zeros(_BANDS, np.int64)
+    for band, number, first in vertices.select(F.posexplode(F.arrays_zip("hist", "work")).alias("band", "x")).groupBy("band").agg(F.sum("x.hist"), F.sum("x.work")).collect():
+        hist[band], prefixes[band] = number, first
+    below, number, total = np.cumsum(hist) - hist, hist, int(hist.sum())
+    # a gram of band x is in at most 2**x sets, which bounds the pairs that a fragment's lists make
+    ends = np.arange(0, total + FRAGMENT_GRAMS, FRAGMENT_GRAMS)
+    within = np.clip(np.minimum(ends[1:, None], below + number) - np.maximum(ends[:-1, None], below), 0, None)
+    pairs_of = (within / np.maximum(number, 1) * prefixes * 2.0 ** np.arange(_BANDS)).sum(1)
+    split = np.maximum(np.ceil(np.sqrt(pairs_of / TASK_PAIRS)), 1).astype(np.int64)
     t0, t1 = threshold
 
-    def fragment_of(key: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """The fragment of the order (band, key) in which a gram lies."""
-        place = below[band] + (key.astype(np.float64) * (number[band] / 2.0**64)).astype(np.int64)
-        return (place // FRAGMENT_GRAMS).astype(np.int32)
+    def place_of(key: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """About the place of a gram in the order (band, key)."""
+        return below[band] + (key.astype(np.float64) * (number[band] / 2.0**64)).astype(np.int64)
 
-    def segments(batches: Iterator[pa.RecordBatch], prefix: bool) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """sig, size, count, prefix, key and band of each block of sets."""
+        kinds = {"sig": np.uint64, "size": np.uint32, "count": np.uint32, "prefix": np.uint32, "key": np.uint64, "band": np.uint8}
         for batch in batches:
             for r in range(batch.num_rows):
-                sig, size, count, first = (np.frombuffer(batch.column(c)[r].as_py(), k) for c, k in (("sig", np.uint64), ("size", np.uint32), ("count", np.uint32), ("prefix", np.uint32)))
-                key, band = np.frombuffer(batch.column("key")[r].as_py(), np.uint64), np.frombuffer(batch.column("band")[r].as_py(), np.uint8)
-                vertex = np.repeat(np.arange(len(sig)), count)
-                if prefix:
-                    inside = np.arange(len(key)) - np.repeat(B.spans(count)[:-1], count)
-                    i = inside < np.repeat(first, count)
-                    key, band, vertex = key[i], band[i], vertex[i]
-                fragment = fragment_of(key, band)
-                o = np.lexsort((key, vertex, fragment))
-                key, vertex, fragment = key[o], vertex[o], fragment[o]
-                cut = np.append(np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])), len(fragment)) if len(key) else np.zeros(1, int)
-                rows = []
-                for a, b in zip(cut[:-1], cut[1:]):
-                    own, c = np.unique(vertex[a:b], return_counts=True)
-                    rows.append((int(fragment[a]), sig[own].tobytes(), size[own].tobytes(), c.astype(np.uint32).tobytes(), key[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if not i else pa.binary()) for i in range(5)], names=["fragment", "sig", "size", "count", "key"])
+                yield tuple(np.frombuffer(batch.column(c)[r].as_py(), k) for c, k in kinds.items())
+
+    def prefix_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, size, count, first, key, band in unpacked(batches):
+            vertex = np.repeat(np.arange(len(sig)), count)
+            i = np.arange(len(key)) - np.repeat(B.spans(count)[:-1], count) < np.repeat(first, count)
+            key, band, vertex = key[i], band[i], vertex[i]
+            fragment = (place_of(key, band) // FRAGMENT_GRAMS).astype(np.int32)
+            o = np.lexsort((key, vertex, fragment))
+            key, vertex, fragment = key[o], vertex[o], fragment[o]
+            cut = np.append(np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])), len(fragment)) if len(key) else np.zeros(1, int)
+            rest, rows = (count - first).astype(np.uint32), []
+            for a, b in zip(cut[:-1], cut[1:]):
+                f = int(fragment[a])
+                own, c = np.unique(vertex[a:b], return_counts=True)
+                at = B.spans(c)
+                part = (sig[own] % _U(split[f])).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    w = np.flatnonzero(part == p)
+                    v = own[w]
+                    row = (sig[v].tobytes(), size[v].tobytes(), rest[v].tobytes(), c[w].astype(np.uint32).tobytes(), key[a:b][B.take_runs(at, w)].tobytes())
+                    rows += [(f, min(p, x), max(p, x), *row) for x in range(int(split[f]))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if i < 3 else pa.binary()) for i in range(8)], names=["fragment", "x", "y", "sig", "size", "rest", "count", "key"])
 
     def candidates(table: pa.Table) -> pa.Table:
-        sig, size, count = B.joined(table.column("sig"), np.uint64), B.joined(table.column("size"), np.uint32).astype(np.int64), B.joined(table.column("count"), np.uint32)
+        f, x, y = (table.column(c)[0].as_py() for c in ("fragment", "x", "y"))
+        sig, size, rest, count = B.joined(table.column("sig"), np.uint64), *(B.joined(table.column(c), np.uint32).astype(np.int64) for c in ("size", "rest", "count"))
         key, at = B.joined(table.column("key"), np.uint64), B.spans(count)
         o = np.lexsort((sig, size))  # from here a vertex is known by its place in the order of size
-        key, sig, size, count = key[B.take_runs(at, o)], sig[o], size[o], count[o]
+        key, sig, size, rest, count = key[B.take_runs(at, o)], sig[o], size[o], rest[o], count[o]
         at, vertex = B.spans(count), np.repeat(np.arange(len(sig)), count)
+        side = sig % _U(split[f]) == _U(x)
         o = np.argsort(key, kind="stable")
         k, listed = key[o], vertex[o]
         new = np.append(True, k[1:] != k[:-1])
@@ -200,73 +239,86 @@ def vertex_pairs(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRES
         run[o] = np.cumsum(new) - 1
         lists = np.append(np.flatnonzero(new), len(k))
         longest = np.searchsorted(size, size * t1 // t0, "right")
-        a_out, b_out = [], []
+        out: list[list] = [[], [], []]
         for a in range(len(sig)):
             own = run[at[a] : at[a + 1]]
             own = own[lists[own + 1] - lists[own] > 1]
             if len(own):
                 b = listed[B.take_runs(lists, own)]
                 b = b[(b > a) & (b < longest[a])]
+                if x != y:
+                    b = b[side[b] != side[a]]
                 if len(b):
-                    b = np.unique(b)
-                    a_out.append(np.full(len(b), a))
-                    b_out.append(b)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
-        return pa.table([pa.array(x) for x in (sig[a].view(np.int64), sig[b].view(np.int64), size[a], size[b])], names=["a", "b", "size_a", "size_b"])
+                    b, shared = np.unique(b, return_counts=True)
+                    for to, part in zip(out, (np.full(len(b), a), b, shared)):
+                        to.append(part)
+        a, b, shared = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        columns = (sig[a].view(np.int64), sig[b].view(np.int64), size[a], size[b], np.maximum(rest[a], rest[b]), shared)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "size_a", "size_b", "rest", "shared"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each set and part of the order: sig, part and the sorted grams."""
+        for sig, _, count, _, key, band in unpacked(batches):
+            part = np.minimum(place_of(key, band) * PARTS // max(total, 1), PARTS - 1)
+            vertex = np.repeat(np.arange(len(sig)), count)
+            o = np.lexsort((key, part, vertex))
+            key, group = key[o], vertex[o] * PARTS + part[o]
+            at = np.searchsorted(group, np.arange(len(sig) * PARTS + 1))
+            for first in range(0, len(sig), 1000):
+                i = range(first * PARTS, min(first + 1000, len(sig)) * PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig[first : first + 1000], PARTS).view(np.int64)), pa.array([j % PARTS for j in i], pa.int32()), pa.array([key[at[j] : at[j + 1]].tobytes() for j in i], pa.binary())], names=["v", "part", "key"])
 
     def overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["a", "b", "size_a", "size_b", "overlap"], [pa.int64()] * 5
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        sig, count = B.joined(left.column("sig"), np.uint64), B.joined(left.column("count"), np.uint32)
+        ids = left.column("v").to_numpy()
+        count = np.array([len(x) // 8 for x in left.column("key").to_pylist()], np.int64)
         key, at = B.joined(left.column("key"), np.uint64), B.spans(count)
-        rank = np.argsort(sig)
-        ids = sig[rank].view(np.int64)
         order = np.argsort(ids)
-        rank, ids = rank[order], ids[order]
-        a, b = right.column("a").to_numpy(), right.column("b").to_numpy()
-        found = np.minimum(np.searchsorted(ids, np.stack([a, b])), len(ids) - 1)
-        use = (ids[found[0]] == a) & (ids[found[1]] == b)
-        chosen = np.flatnonzero(use)
-        chosen = chosen[B.sort_by(found[0][chosen])]
-        va, vb = rank[found[0][chosen]], rank[found[1][chosen]]
+        a, b = (order[np.searchsorted(ids[order], right.column(c).to_numpy())] for c in ("a", "b"))
+        chosen = B.sort_by(a)
         overlap = np.zeros(len(chosen), np.int64)
-        cut = np.append(np.flatnonzero(np.append(True, va[1:] != va[:-1])), len(va)) if len(va) else np.zeros(1, int)
-        for x, y in zip(cut[:-1], cut[1:]):
-            own = key[at[va[x]] : at[va[x] + 1]]
-            others = key[B.take_runs(at, vb[x:y])]
-            hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
-            ends = B.spans(at[vb[x:y] + 1] - at[vb[x:y]])
-            overlap[x:y] = np.add.reduceat(hit, ends[:-1], dtype=np.int64)
-        some = overlap > 0
-        chosen = chosen[some]
-        return pa.table([pa.array(a[chosen]), pa.array(b[chosen]), *[pa.array(right.column(c).to_numpy()[chosen]) for c in ("size_a", "size_b")], pa.array(overlap[some])], names=names)
-
-    def frags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The fragments in which each set has grams."""
-        for batch in segments(batches, False):
-            for fragment, sig in zip(batch.column("fragment").to_pylist(), batch.column("sig").to_pylist()):
-                sig = np.frombuffer(sig, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), fragment, np.int32))], names=["a", "fragment"])
-
-    block = "fragment int, sig binary, size binary, count binary, key binary"
+        va, vb = a[chosen], b[chosen]
+        cut = np.append(np.flatnonzero(np.append(True, va[1:] != va[:-1])), len(va))
+        for i, j in zip(cut[:-1], cut[1:]):
+            own = key[at[va[i]] : at[va[i] + 1]]
+            if len(own):
+                others = key[B.take_runs(at, vb[i:j])]
+                hit = np.append(own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others, False)
+                sums = B.spans(hit)
+                ends = B.spans(at[vb[i:j] + 1] - at[vb[i:j]])
+                overlap[i:j] = sums[ends[1:]] - sums[ends[:-1]]
+        some = np.flatnonzero(overlap)
+        return pa.table([*[pa.array(right.column(c).to_numpy()[chosen[some]]) for c in ("a", "b", "size_a", "size_b")], pa.array(overlap[some])], names=names)
+
+    enough = lambda c: c * (t0 + t1) >= (F.col("size_a") + F.col("size_b")) * t0
+    block = "fragment int, x int, y int, sig binary, size binary, rest binary, count binary, key binary"
     pair = "a bigint, b bigint, size_a bigint, size_b bigint"
-    found = vertices.mapInArrow(lambda x: segments(x, True), block).groupBy("fragment").applyInArrow(candidates, pair).distinct()
-    routed = found.join(vertices.mapInArrow(frags, "a bigint, fragment int"), "a")
-    parts = vertices.mapInArrow(lambda x: segments(x, False), block).groupBy("fragment").cogroup(routed.groupBy("fragment")).applyInArrow(overlaps, pair + ", overlap bigint")
-    pairs = parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    return pairs.where(F.col("overlap") * (t0 + t1) >= (F.col("size_a") + F.col("size_b")) * t0)
-
-
-def join(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """All pairs of doc_ids: doc_a < doc_b, overlap, and jaccard rounded to six places."""
-    members = checkpoint(_members(docs, n, ["doc_id"]).where("doc_id is not null and _size > 0").distinct())
-    one = members.select(F.col("_sig").alias("a"), F.col("doc_id").alias("x"))
-    two = members.select(F.col("_sig").alias("b"), F.col("doc_id").alias("y"))
-    similar = vertex_pairs(docs, n, threshold).join(one, "a").join(two, "b").where("x != y").select("x", "y", "overlap", (F.col("size_a") + F.col("size_b") - F.col("overlap")).alias("union"))
-    several = members.withColumn("_n", F.count("*").over(Window.partitionBy("_sig"))).where("_n > 1")
-    equal = several.select(F.col("_sig").alias("a"), F.col("doc_id").alias("x"), "_size").join(two, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.col("_size").alias("overlap"), F.col("_size").alias("union"))
-    return similar.unionByName(equal).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", F.round(F.col("overlap") / F.col("union"), 6).alias("jaccard"))
+    found = vertices.mapInArrow(prefix_segments, block).groupBy("fragment", "x", "y").applyInArrow(candidates, pair + ", rest bigint, shared bigint")
+    found = found.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"), F.max("rest").alias("rest"))
+    found = checkpoint(found.where(enough(F.col("shared") + F.col("rest"))).select("a", "b", "size_a", "size_b"))
+    # sets that are near each other get the same home, so that few sets are needed in several cells
+    near = found.select(F.col("a").alias("v"), F.col("b").alias("u"), F.lit(1).alias("n")).unionByName(found.select(F.col("b").alias("v"), F.col("a").alias("u"), F.lit(0).alias("n")))
+    near = near.groupBy("v").agg(F.min("u").alias("u"), F.sum("n").alias("n")).select("v", F.least("v", "u").alias("home"), "n")
+    homes = near.groupBy("home").agg(F.sum("n").alias("pairs"), F.count("*").alias("sets"))
+    homes = homes.select("home", F.greatest(F.ceil(F.sqrt(F.col("pairs") / CELL_PAIRS)), F.ceil(F.col("sets") / CELL_SETS)).alias("split"))
+    near = near.join(homes, "home").select(F.col("v").alias("a"), "home", "split")
+    cells = max(1, -(-found.count() // CELL_PAIRS), -(-total // CELL_GRAMS))
+    spot = F.when(F.col("split") > 1, F.xxhash64("home", F.pmod("a", "split"), F.pmod("b", "split"))).otherwise(F.xxhash64("home"))
+    celled = found.join(near, "a").select("a", "b", "size_a", "size_b", F.pmod(spot, F.lit(cells)).alias("cell"))
+    celled = checkpoint(celled)
+    needed = celled.select(F.col("a").alias("v"), F.col("cell").alias("_cell")).union(celled.select("b", "cell")).distinct()
+    left = vertices.mapInArrow(sets, "v bigint, part int, key binary").join(needed, "v").select(F.col("_cell").alias("cell_"), "part", "v", "key")
+    right = celled.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    parts = left.groupBy("cell_", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(overlaps, pair + ", overlap bigint")
+    return parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap")).where(enough(F.col("overlap")))
+
+
+def members(docs: DataFrame, n: int = N) -> DataFrame:
+    """The documents of each vertex: doc_id, _sig (signature) and _size of the set; rows that repeat doc_id and set are one."""
+    ship(docs.sparkSession)
+    return _members(docs.select("doc_id", "text"), n, ["doc_id"]).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -284,30 +336,53 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row a document: doc_id, class_id, n_copies (other documents with the same set) and n_links (similar sets that differ from its own)."""
+    own = checkpoint(members(docs, n))
+    pairs = checkpoint(vertex_pairs(docs, n, threshold).select("a", "b"))
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    links = ends.groupBy("a").agg(F.count("*").alias("n_links")).join(components(pairs), "a")
+    # a class is worked out on its vertices, so no task has all documents of it
+    vertices = own.where("_size > 0").groupBy(F.col("_sig").alias("a")).agg(F.min("doc_id").alias("least"), (F.count("*") - 1).alias("n_copies"))
+    vertices = vertices.join(links, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    least = vertices.groupBy("label").agg(F.min("least").alias("class_id"))
+    vertices = vertices.join(least, "label").select(F.col("a").alias("_sig"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = own.where("_size > 0").join(vertices, "_sig").select("doc_id", "class_id", "n_copies", "n_links")
+    zero = F.lit(0).cast("bigint")
+    return rows.unionByName(own.where("_size = 0").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_copies"), zero.alias("n_links")))
+
+
 def deduplicate(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row of each group of documents that are linked by similar pairs, that of the least doc_id; all other rows stay. The columns of ``docs``."""
+    """One row of each class, that of the least doc_id, and all rows without words. The columns of ``docs``."""
+    ship(docs.sparkSession)
     columns = docs.columns
     names = [f"_c{i}" for i in range(len(columns))]
     ident, text = (names[columns.index(c)] for c in ("doc_id", "text"))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_doc")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias("_doc")
     plain = docs.toDF(*names).withColumn("text", F.col(text))
-    slim = checkpoint(_members(docs.select("doc_id", "text"), n, ["doc_id"]).where("_size > 0").groupBy("_sig", "doc_id").agg(F.count("*").alias("n")))
+    least = members(docs, n).where("_size > 0").groupBy("_sig").agg(F.min(F.struct(F.isnull("doc_id").alias("x"), F.col("doc_id"))).alias("first"))
     labels = components(vertex_pairs(docs, n, threshold))
-    slim = slim.join(labels.withColumnRenamed("a", "_sig"), "_sig", "left").withColumn("label", F.coalesce("label", "_sig"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.col("doc_id").asc_nulls_last(), "_sig"))
-    gone = slim.withColumn("_place", place).where("_place > 1").select("_sig", key("doc_id"))
-    rows = _members(plain, n, names).withColumn("_doc", key(ident))
-    # rows without words belong to no group; a key of their own spreads them
-    rows = rows.withColumn("_sig", F.when(F.col("_size") > 0, F.col("_sig")).otherwise(F.xxhash64("_doc", F.lit("empty"))))
-    rows = rows.join(gone.withColumn("_in", F.lit(1)), ["_sig", "_doc"], "left").where("_in is null or _size = 0")
+    least = least.join(labels.withColumnRenamed("a", "_sig"), "_sig", "left")
+    kept = least.groupBy(F.coalesce("label", "_sig")).agg(F.min(F.struct("first.x", "first.doc_id", "_sig")).alias("k")).select("k._sig", "k.doc_id")
+    kept = kept.select("_sig", key("doc_id"), F.lit(1).alias("_in"))
+    rows = _members(plain, n, names)
+    # rows without words belong to no class; each has a key of its own, which spreads them
+    rows = rows.withColumn("_doc", F.when(F.col("_size") > 0, key(ident)).otherwise(F.concat(F.lit("empty"), F.monotonically_increasing_id())))
+    # of rows that repeat, a task sends one
     again = F.row_number().over(Window.partitionBy("_sig", "_doc").orderBy(F.xxhash64(text)))
-    return rows.withColumn("_again", again).where("_again = 1 or _size = 0").select(*names).toDF(*columns)
+    rows = rows.withColumn("_again", again).where("_again = 1").join(kept, ["_sig", "_doc"], "left")
+    return rows.where("_in = 1 or _size = 0").select(*names).toDF(*columns)
 
 
 def oracle(n: int = N, threshold: tuple[int, int] = THRESHOLD) -> str:
-    return f"""with w as (select row_number() over () r, doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') w from documents where doc_id is not null),
-  g as (select distinct r, doc_id, unnest(case when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) end) g from w where len(w) > 0),
-  s as (select r, count(*) n from g group by r),
-  p as (select a.r ra, b.r rb, a.doc_id doc_a, b.doc_id doc_b, count(*) overlap from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all)
-select distinct doc_a, doc_b, overlap, round(overlap::double / (x.n + y.n - overlap), 6) as jaccard from p join s x on x.r = ra join s y on y.r = rb
-where overlap * {sum(threshold)} >= (x.n + y.n) * {threshold[0]}"""
+    return f"""with recursive w as (select doc_id, coalesce(regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) w from documents),
+  m as (select distinct doc_id, case when len(w) = 0 then [] else list_sort(list_distinct(case when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) end)) end s from w),
+  v as (select s, row_number() over () v, count(*) - 1 n_copies, min(doc_id) least from m where len(s) > 0 group by s),
+  g as (select v, len(s) n, unnest(s) g from v),
+  p as (select a.v a, b.v b from g a join g b on a.g = b.g and a.v < b.v group by a.v, b.v, a.n, b.n having count(*) * {sum(threshold)} >= (a.n + b.n) * {threshold[0]}),
+  e as (select a, b from p union all select b, a from p),
+  c as (select v, v label from v union select e.b, c.label from c join e on e.a = c.v),
+  l as (select v, min(label) label from c group by v),
+  k as (select label, min(least) class_id from l join v using (v) group by label)
+select m.doc_id, case when len(m.s) = 0 then m.doc_id else class_id end class_id, coalesce(n_copies, 0)::bigint n_copies, coalesce(n_links, 0)::bigint n_links
+from m left join v on v.s = m.s left join l using (v) left join k using (label) left join (select a v, count(*) n_links from e group by a) d using (v)"""

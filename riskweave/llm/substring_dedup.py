@@ -13,39 +13,46 @@ word at which it occurs.
    branches, as its edges also lead on along the source. These nodes are joined
    with the runs on their source document, and each run is cut there. What
    remains are the nonbranching paths, at each place where they occur.
-
-Since coordinates and first coordinates advance together along a run, every
-span of n words is the same n words at both places.
+4. Paths are found by 64-bit hashes of k-mers, so each is verified: the words at
+   its source coordinates and those at its own are read, and where the 128-bit
+   digests of these words differ, the path is dropped.
 
 A row of the result is a span of K or more words that occurs elsewhere too:
 doc_id, start (word), n_words, and where it occurs first, first_doc and
 first_start. ``remove`` deletes every occurrence but the first.
 
 Defined cases: a text that is null or has fewer than K words has no spans; rows
-whose doc_id is null are not compared and stay as they are; rows that repeat
-doc_id and words are one document, and rows that repeat only doc_id are
-documents of their own, in the order of a hash of their words; repeats within
-one text count; overlapping occurrences are merged when removed; a text of
-which all words are removed keeps what precedes its first word; an empty table
-gives no rows; extra columns are kept by ``remove`` whatever their names.
+whose doc_id is null come after all others; rows that repeat doc_id and words
+are one document (``remove`` handles each row alike), and rows that repeat only
+doc_id are documents of their own, in the order of a hash of their words;
+repeats within one text count; where doc_id isn't of an integer type, documents
+are in the order of a 64-bit hash of it; overlapping occurrences are merged when
+removed; a text of which all words are removed keeps what precedes its first
+word; an empty table gives no rows; extra columns are kept by ``remove``
+whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _blocks as B
-from ._spark import checkpoint, text_bytes
+from ._spark import checkpoint, integer_ids, named_ids, ship, text_bytes
 from ._text import Words, chunked, mix
 
 K = 50
 #: Text bytes whose k-mers make a fragment; one fragment is held in memory at a time.
-FRAGMENT_BYTES = 32 << 20
+FRAGMENT_BYTES = 24 << 20
+#: Bits of the filter of documents that take part in a join; the more documents, the more it lets through.
+FILTER_BITS = 23
+#: The place of a null doc_id.
+LAST = (1 << 63) - 1
 _U = np.uint64
 _POSTINGS = "fragment int, doc binary, sig binary, count binary, key binary, low binary, high binary"
 _OCCURRENCES = "bucket int, doc binary, sig binary, count binary, low binary, high binary, source binary, first_low binary, first_high binary, source_doc binary, source_sig binary"
@@ -78,34 +85,39 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
 
 
+def _key(docs: DataFrame, column: str = "doc_id") -> Column:
+    return F.coalesce(integer_ids(docs, column), F.lit(LAST))
+
+
 def runs(docs: DataFrame, k: int = K) -> DataFrame:
     """Runs of repeated k-mers, with the source coordinates of the k-mer directly before each, if that repeats too."""
-    bits = B.fragment_bits(text_bytes(docs), FRAGMENT_BYTES)
+    number = B.fragments(text_bytes(docs), FRAGMENT_BYTES)
+    label = B.labels(number)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             words = Words(batch.column("text"))
-            number = np.maximum(words.counts - k + 1, 0)
-            if not number.any():
+            kmers = np.maximum(words.counts - k + 1, 0)
+            if not kmers.any():
                 continue
-            at = B.spans(number)
-            doc = np.repeat(np.arange(len(number)), number)
+            at = B.spans(kmers)
+            doc = np.repeat(np.arange(len(kmers)), kmers)
             pos = np.arange(at[-1]) - at[doc]  # int64 here, 32 bits in the blocks
             h = words.runs(words.first[doc] + pos, k)
             ids, sig = batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)
-            fragment = B.fragment_of(h, bits)
+            fragment = B.fragment_of(h, number)
             o = B.sort_by(fragment)
             h, doc, pos, fragment = h[o], doc[o], pos[o], fragment[o]
             cut = _edges(fragment)
             rows = []
             for a, b in zip(cut[:-1], cut[1:]):
                 own, count = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(fragment[a]), ids[own].tobytes(), sig[own].tobytes(), count.astype(np.uint32).tobytes(), B.pack48(h[a:b], bits), *_planes(pos[a:b])))
+                rows.append((int(label[fragment[a]]), ids[own].tobytes(), sig[own].tobytes(), count.astype(np.uint32).tobytes(), h[a:b].tobytes(), *_planes(pos[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], names=["fragment", "doc", "sig", "count", "key", "low", "high"])
 
     def repeated(table: pa.Table) -> pa.Table:
         doc, sig, count = B.joined(table.column("doc"), np.int64), B.joined(table.column("sig"), np.uint64), B.joined(table.column("count"), np.uint32)
-        key, pos, at = B.unpack48(table.column("key").to_pylist()), _from_planes(table.column("low"), table.column("high")), B.spans(count)
+        key, pos, at = B.joined(table.column("key"), np.uint64), _from_planes(table.column("low"), table.column("high")), B.spans(count)
         o = np.lexsort((sig, doc))
         d, s = doc[o], sig[o]
         o = o[np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))] if len(o) else o  # rows that repeat are one document
@@ -127,7 +139,7 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
             many = np.zeros(0, bool)
         del o
         i = np.flatnonzero(many)
-        bucket = B.fragment_of(mix(doc.view(np.uint64)), bits)
+        bucket = B.fragment_of(mix(doc.view(np.uint64)), number)
         i = i[B.sort_by(bucket[owner[i]])]
         own, first, pos_i = owner[i], first[i], pos[i]
         cut = _edges(bucket[own])
@@ -136,7 +148,7 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
             seg = _edges(own[a:b])
             which = own[a:b][seg[:-1]]
             source, index = np.unique(owner[first[a:b]], return_inverse=True)
-            rows.append((int(bucket[own[a]]), doc[which].tobytes(), sig[which].tobytes(), np.diff(seg).astype(np.uint32).tobytes(), *_planes(pos_i[a:b]), index.astype(np.uint32).tobytes(), *_planes(pos[first[a:b]]), doc[source].tobytes(), sig[source].tobytes()))
+            rows.append((int(label[bucket[own[a]]]), doc[which].tobytes(), sig[which].tobytes(), np.diff(seg).astype(np.uint32).tobytes(), *_planes(pos_i[a:b]), index.astype(np.uint32).tobytes(), *_planes(pos[first[a:b]]), doc[source].tobytes(), sig[source].tobytes()))
         names = [x.split()[0] for x in _OCCURRENCES.split(", ")]
         return pa.table([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(11)], names=names)
 
@@ -166,9 +178,9 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
         prior = [s_doc[same[source[before]]], signed(s_sig[same[source[before]]]), first[before]]
         return pa.table([*map(pa.array, out), *[pa.array(x, mask=~joint) for x in prior]], names=[x.split()[0] for x in _RUNS.split(", ")])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    found = rows.mapInArrow(write, _POSTINGS).groupBy("fragment").applyInArrow(repeated, _OCCURRENCES)
-    return checkpoint(found.groupBy("bucket").applyInArrow(compact, _RUNS))
+    rows = docs.select(_key(docs).alias("doc_id"), F.lower("text").alias("text"))
+    found = rows.mapInArrow(write, _POSTINGS).repartition(number, "fragment").groupBy("fragment").applyInArrow(repeated, _OCCURRENCES)
+    return checkpoint(found.repartition(number, "bucket").groupBy("bucket").applyInArrow(compact, _RUNS))
 
 
 def paths(docs: DataFrame, k: int = K) -> DataFrame:
@@ -188,55 +200,137 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
     return rows.select("doc_id", "sig", (F.col("start") + F.col("shift")).alias("start"), F.col("length").alias("n"), "first_doc", "first_sig", (F.col("first_start") + F.col("shift")).alias("first_start"))
 
 
+class Joined:
+    """Words of a batch joined by blanks, to take digests of runs of them."""
+
+    def __init__(self, words: Words):
+        size = words.end - words.begin
+        self.at = B.spans(size + 1)
+        self.raw = np.full(self.at[-1], 32, np.uint8)
+        self.raw[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = words.data[words._flag]
+        self.first = words.first
+
+    def digest(self, doc: int, start: int, n: int) -> bytes | None:
+        """128 bits over n words of a text, from the given one; None where the text has fewer."""
+        a = self.first[doc] + start
+        if a + n > self.first[doc + 1]:
+            return None
+        return hashlib.blake2b(self.raw[self.at[a] : self.at[a + n] - 1].tobytes(), digest_size=16).digest()
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash value that an ``_id`` has; its size doesn't depend on theirs."""
+    spot = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS)) + 1
+    parts = ids.select(spot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("g")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    out = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
+    for r in parts:
+        at = (r.g - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r.m), np.uint8)[: len(out) - at]
+    return out
+
+
+def _signed(rows: DataFrame, keep: list[str], bits: np.ndarray, inside: bool) -> DataFrame:
+    """Adds ``_sig`` to the rows that have ``_id`` and ``_text``, of those that pass the filter (or don't)."""
+    columns = [*keep, "_id", "_text"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.column("_spot").to_numpy()
+            own = (bits[spot >> 3] >> (spot & 7) & 1) == int(inside)
+            if not own.any():
+                continue
+            for part in chunked(iter([batch.filter(pa.array(own))]), "_text"):
+                sig = signatures(Words(part.column("_text"))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(sig)], names=[*columns, "_sig"])
+
+    spot = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS)).cast("int")
+    schema = rows.select(*columns).schema.add("_sig", "long")
+    return rows.select(*columns, spot.alias("_spot")).mapInArrow(sign, schema)
+
+
+def witnessed(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The paths with the digest of the words at their source coordinates."""
+    keys = ["first_doc", "first_sig", "first_start", "n"]
+    wanted = found.select(*keys).distinct().groupBy("first_doc", "first_sig").agg(F.collect_list(F.struct("first_start", "n")).alias("_spans"))
+    wanted = wanted.withColumnsRenamed({"first_doc": "_id", "first_sig": "_sig"})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "_text"):
+            text = Joined(Words(batch.column("_text")))
+            out: list[tuple] = []
+            for r, (doc, sig, items) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_id", "_sig", "_spans")))):
+                out += [(doc, sig, x["first_start"], x["n"], text.digest(r, x["first_start"], x["n"] + k - 1)) for x in items]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.binary()) for i in range(5)], names=[*keys, "witness"])
+
+    rows = docs.select(_key(docs).alias("_id"), F.lower("text").alias("_text"))
+    rows = _signed(rows, [], _filter(found.select(F.col("first_doc").alias("_id"))), True).join(wanted, ["_id", "_sig"])
+    # rows that repeat a document say the same
+    said = rows.mapInArrow(read, "first_doc bigint, first_sig bigint, first_start bigint, n bigint, witness binary").groupBy(*keys).agg(F.first("witness").alias("witness"))
+    return found.join(said, keys)
+
+
 def spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Every occurrence of every repeated nonbranching path, the first one included."""
-    return paths(docs, k).select("doc_id", "start", (F.col("n") + (k - 1)).alias("n_words"), "first_doc", "first_start")
+    ship(docs.sparkSession)
+    found = witnessed(docs, checkpoint(paths(docs, k)), k)
+    own = checkpoint(found.groupBy(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")).agg(F.collect_list(F.struct("start", "n", "first_doc", "first_start", "witness")).alias("_spans")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "_text"):
+            text = Joined(Words(batch.column("_text")))
+            out: list[tuple] = []
+            for r, (doc, sig, items) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_id", "_sig", "_spans")))):
+                out += [(doc, sig, x["start"], x["n"] + k - 1, x["first_doc"], x["first_start"]) for x in items if x["witness"] is not None and text.digest(r, x["start"], x["n"] + k - 1) == x["witness"]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(6)], names=["doc_id", "_sig", "start", "n_words", "first_doc", "first_start"])
+
+    rows = _signed(docs.select(_key(docs).alias("_id"), F.lower("text").alias("_text")), [], _filter(own.select("_id")), True).join(own, ["_id", "_sig"])
+    rows = rows.mapInArrow(verify, "doc_id bigint, _sig bigint, start bigint, n_words bigint, first_doc bigint, first_start bigint").distinct()
+    rows = rows.select(*[F.nullif(F.col(c), F.lit(LAST)).alias(c) if c.endswith("doc_id") or c == "first_doc" else F.col(c) for c in ("doc_id", "start", "n_words", "first_doc", "first_start")])
+    return named_ids(rows, docs, "doc_id", ["doc_id", "first_doc"])
 
 
 def remove(docs: DataFrame, k: int = K) -> DataFrame:
     """The rows of ``docs`` without the repeated passages, but for each passage's first occurrence; n_chars follows the text."""
+    ship(docs.sparkSession)
     columns = docs.columns
     names = [f"_c{i}" for i in range(len(columns))]
     ident, text = (names[columns.index(c)] for c in ("doc_id", "text"))
-    later = runs(docs, k).where("not (doc_id = first_doc and sig = first_sig and start = first_start)")
-    later = later.groupBy("doc_id", "sig").agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_lengths"))
+    later = checkpoint(paths(docs, k).where("not (doc_id = first_doc and sig = first_sig and start = first_start)"))
+    later = witnessed(docs, later, k).groupBy(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")).agg(F.collect_list(F.struct("start", "n", "witness")).alias("_spans"))
+    later = checkpoint(later)
     plain = docs.toDF(*names)
-    schema = plain.schema
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, "_text"):
-            sig = signatures(Words(batch.column("_text"))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(sig)], names=[*names, "_sig"])
+    plain = plain.select(*names, _key(plain, ident).alias("_id"), F.lower(text).alias("_text"))
+    schema = plain.select(*names).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
-        for batch in chunked(batches, text):
-            out = batch.column(at).to_pylist()
-            starts, lengths = batch.column("_starts"), batch.column("_lengths")
-            for r in range(batch.num_rows):
-                if starts[r].is_valid:
-                    words = Words(batch.column("_text").slice(r, 1))
-                    raw = out[r].encode()
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    s, n = np.array(starts[r].as_py()), np.array(lengths[r].as_py())
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, np.minimum(s + n + k - 1, len(words)), -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    # a word goes with what separates it from the next
-                    begin = np.append(words.begin, len(raw))
-                    kept, edge = [raw[: begin[0]]], _edges(gone)
-                    kept += [raw[begin[a] : begin[b]] for a, b in zip(edge[:-1], edge[1:]) if not gone[a]]
-                    out[r] = b"".join(kept).decode()
+        for batch in chunked(batches, "_text"):
+            # the words are sought in the text itself: its positions are its own
+            out, found = batch.column(at).to_pylist(), Words(batch.column(at))
+            lowered = Joined(Words(batch.column("_text")))
+            for r, items in enumerate(batch.column("_spans").to_pylist()):
+                spans_ = [(x["start"], x["n"] + k - 1) for x in items or [] if x["witness"] is not None and lowered.digest(r, x["start"], x["n"] + k - 1) == x["witness"]]
+                if not spans_:
+                    continue
+                raw, first, last = out[r].encode(), found.first[r], found.first[r + 1]
+                gone = np.zeros(last - first + 1, np.int64)
+                s, n = np.array(spans_).T
+                np.add.at(gone, s, 1)
+                np.add.at(gone, s + n, -1)
+                gone = np.cumsum(gone)[:-1] > 0
+                # a word goes with what separates it from the next
+                begin = np.append(found.begin[first:last] - found.at[r], len(raw))
+                kept, edge = [raw[: begin[0]]], _edges(gone)
+                kept += [raw[begin[a] : begin[b]] for a, b in zip(edge[:-1], edge[1:]) if not gone[a]]
+                out[r] = b"".join(kept).decode()
             arrays = [batch.column(i) for i in range(len(names))]
             arrays[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    signed = plain.select(*names, F.lower(text).alias("_text")).mapInArrow(sign, plain.select("*").schema.add("_sig", "long"))
-    signed = signed.withColumn("_id", F.coalesce(F.col(ident).cast("bigint"), F.xxhash64(text)))
-    joined = signed.join(later.withColumnsRenamed({"doc_id": "_id", "sig": "_sig"}), ["_id", "_sig"], "left")
-    joined = joined.withColumn("_starts", F.when(F.col(ident).isNotNull(), F.col("_starts")))
-    # words are found in a lower-cased text with the same byte positions: only ASCII letters are lowered here
-    rows = joined.select(*names, "_starts", "_lengths", F.col(text).alias("_text")).mapInArrow(cut, schema).toDF(*columns)
+    bits = _filter(later.select("_id"))
+    # documents without a repeat pass by; the others meet their spans
+    joined = _signed(plain, names, bits, True).join(later, ["_id", "_sig"], "left")
+    rows = joined.select(*names, "_spans", "_text").mapInArrow(cut, schema).unionByName(_signed(plain, names, bits, False).select(*names)).toDF(*columns)
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return rows

@@ -83,24 +83,44 @@ def test_shortages_go_to_siblings_first(spark):
     assert {r.name: r.alloc for r in mixing.share(nodes, [], "name").collect()} == {"a": 10, "b": 30, "c": 60}
 
 
-def test_packing(docs, none):
-    got = packing.pack(docs, capacity=16, classes=8, shards=2, with_text=True).collect()
+def test_packing(spark, docs, none):
+    got = packing.pack(docs, capacity=16, classes=8, shard_rows=7, with_text=True).collect()
     bins = {}
     for r in got:
-        bins.setdefault((r.shard, r["class"], r.bin), []).append(r)
+        bins.setdefault((r.shard, r["class"], r["round"], r.bin), []).append(r)
         assert len(r.text.split()) == r.n_tokens <= 16 and r["class"] == min(8, 16 // r.n_tokens)
+    assert {r.shard for r in got} == {0, 1}
     assert all(sum(x.n_tokens for x in b) <= 16 and sorted(x.slot for x in b) == list(range(len(b))) for b in bins.values())
     last = {}
-    for s, c, b in bins:
-        last[s, c] = max(b, last.get((s, c), 0))
-    assert all(len(x) == c for (s, c, b), x in bins.items() if b < last[s, c])
+    for s, c, o, b in bins:
+        last[s, c, o] = max(b, last.get((s, c, o), 0))
+    assert all(len(x) == c for (s, c, o, b), x in bins.items() if b < last[s, c, o])
     assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").split()) for r in rows())
     assert packing.pack(none).count() == 0
 
 
+def test_no_bin_holds_a_document_twice(spark):
+    data = [(i, " ".join(["t"] * (3 + i % 4)), "epoch") for i in range(60)] * 3 + [(None, f"text {i % 2}", "") for i in range(6)] + [(5, "other words here", "")] * 2
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = packing.pack(df, capacity=24, classes=8, shard_rows=1000, with_text=True).collect()
+    assert len(got) == len(data) and len({r.shard for r in got}) == 1
+    bins = {}
+    for r in got:
+        bins.setdefault((r["class"], r["round"], r.bin), []).append((r.doc_id, r.text if r.doc_id is None else r.start))
+    assert all(len(set(b)) == len(b) for b in bins.values())
+    full = [len(b) / k[0] for k, b in bins.items() if k[1] < 3]
+    assert sum(full) / len(full) > 0.8
+
+
+def test_packing_fills_its_bins(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    tokens, bins = got.agg(F.sum("n_tokens"), F.count_distinct("shard", "class", "round", "bin")).first()
+    assert tokens / (bins * packing.CAPACITY) > 0.8
+
+
 def test_viterbi_against_plain(spark):
     rng = np.random.default_rng(3)
-    for n, s in ((1, 2), (7, 3), (50, 4), (333, 2)):
+    for n, s in ((1, 2), (7, 3), (50, 4), (333, 2), (60, 200)):
         score, cost = rng.integers(-20, 20, (n, s)), np.full(n, 11)
         cost[rng.random(n) < 0.1] = 0
         best = score[0].copy()
@@ -121,23 +141,58 @@ def test_language_spans(spark, docs, none):
     assert language_id.spans(docs).count() == len(rows()) and language_id.spans(none).count() == 0
 
 
+def plain_classes(data):
+    """By brute force: (doc_id, class_id, n_copies, n_links) of each distinct document and set."""
+    own = set()
+    for r in data:
+        g = Words(pa.array([(r[1] or "").lower()])).grams(3)[0]
+        own.add((r[0], frozenset(g.tolist())))
+    sets = {s for _, s in own if s}
+    links = {s: {t for t in sets if t != s and 2 * len(s & t) >= len(s | t)} for s in sets}
+    out = []
+    for d, s in own:
+        group, new = {s}, [s]
+        while new and s:
+            x = new.pop()
+            new += links[x] - group
+            group |= links[x]
+        ids = [i for i, t in own if t in group and i is not None]
+        out.append((d, (min(ids) if ids else None) if s else d, sum(t == s for _, t in own) - 1 if s else 0, len(links[s]) if s else 0))
+    return sorted(out, key=str)
+
+
 def test_ngram_join_against_brute_force(docs, none):
-    sets = {}
-    for r in rows():
-        w = Words(pa.array([(r[1] or "").lower()]))
-        g = w.grams(3)[0]
-        if r[0] is not None and len(g):
-            sets.setdefault(r[0], set()).add(frozenset(g.tolist()))
-    want = set()
-    for (a, xs), (b, ys) in itertools.combinations(sorted(sets.items()), 2):
-        for x, y in itertools.product(xs, ys):
-            if 2 * len(x & y) >= len(x | y):
-                want.add((a, b, len(x & y)))
-    assert {(r.doc_a, r.doc_b, r.overlap) for r in ngram_join.join(docs).collect()} == want and want
+    got = sorted(map(tuple, ngram_join.classes(docs).collect()), key=str)
+    assert got == plain_classes(rows()) and any(r[3] for r in got)
     kept = ngram_join.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = sorted(str(r.doc_id) for r in kept.collect())
-    assert ids == sorted(map(str, [1, 3, 5, 6, 7, 8, 9, 10, 10, None])) and ngram_join.join(none).count() == 0 and ngram_join.deduplicate(none).count() == 0
+    assert ids == sorted(map(str, [1, 3, 5, 6, 7, 8, 9, 10, 10, None])) and ngram_join.classes(none).count() == 0 and ngram_join.deduplicate(none).count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_classes_of_clusters(spark, monkeypatch, small):
+    """Chains, clusters of near copies, copies and repeated rows; with tiny fragments, parts and cells, too."""
+    if small:
+        for name, value in (("FRAGMENT_BYTES", 2000), ("FRAGMENT_GRAMS", 500), ("TASK_PAIRS", 50), ("CELL_PAIRS", 20), ("CELL_GRAMS", 300), ("CELL_SETS", 5), ("PARTS", 3)):
+            monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(base[i : i + 30]), "x") for i in range(30)]  # a chain
+    for i in range(40, 90):  # a cluster
+        words = [f"c{j}" for j in range(80)]
+        words[rng.randrange(80)] = f"new{i}"
+        data.append((i, " ".join(words), "y"))
+    data += [(100 + i, " ".join(base[:30]), "z") for i in range(20)] + [(100, " ".join(base[:30]), "again"), (None, " ".join(base[:30]), "no id"), (None, "alone here now", ""), (200, "", ""), (201, None, "")]
+    data += [(300 + i, " ".join(rng.choice(base) for _ in range(40)), "") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id int, text string, source string").repartition(5)
+    got = sorted(map(tuple, ngram_join.classes(df).collect()), key=str)
+    assert got == plain_classes(data)
+    kept = {(r.doc_id, r.text) for r in ngram_join.deduplicate(df).collect()}
+    want = {(d, c) for d, c, _, _ in got if d == c}
+    assert {(d, d) for d, _ in kept} == want and (None, "alone here now") in kept and len(kept) == len(want)
+    named = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert ngram_join.classes(named).count() == len(got)
 
 
 def test_substring_dedup(docs, none):
@@ -150,6 +205,23 @@ def test_substring_dedup(docs, none):
     assert len(got[7].text.split()) < len(LONG.split()) and substring_dedup.remove(none).count() == 0 and substring_dedup.spans(none).count() == 0
 
 
+def test_false_repeats_are_dropped(spark, monkeypatch):
+    """A path whose hashes agree and whose words don't, as by a collision, is neither reported nor removed."""
+    data = [("a", f"one {PASSAGE} two"), ("b", f"{PASSAGE} three"), ("c", " ".join(f"other{i}" for i in range(90))), (None, f"four {PASSAGE}")]
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    assert substring_dedup.paths(df).where("first_start = 1").count() in (0, 3) and {r.doc_id for r in substring_dedup.spans(df).collect()} == {"a", "b", None}
+    true = substring_dedup.paths(df)
+    sig = {r[1]: r[0] for r in true.select("sig", "doc_id").collect()}
+    c = int(substring_dedup.signatures(Words(pa.array([data[2][1]]))).view(np.int64)[0])
+    ids = {r[1]: r[0] for r in df.select(substring_dedup._key(df), "doc_id").collect()}
+    false = [(ids["c"], c, 3, 11, ids["a"], sig[ids["a"]], 1), (ids["c"], c, 85, 11, ids["a"], sig[ids["a"]], 1), (ids["b"], sig[ids["b"]], 1, 11, ids["c"], c, 70)]
+    both = true.unionByName(spark.createDataFrame(false, true.schema))
+    monkeypatch.setattr(substring_dedup, "paths", lambda docs, k=50: both)
+    assert {r.doc_id for r in substring_dedup.spans(df).collect()} == {"a", "b", None}
+    left = {r.doc_id: r.text for r in substring_dedup.remove(df).collect()}
+    assert left["c"] == data[2][1] and sorted(len(x.split()) for x in left.values()) in ([1, 2, 71, 90], [1, 1, 72, 90])
+
+
 def test_substring_dedup_against_brute_force(spark):
     rng, k = random.Random(1), 4
     words = {d: [rng.choice("abc") for _ in range(rng.randrange(0, 40))] for d in range(25)}
