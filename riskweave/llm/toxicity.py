@@ -9,8 +9,11 @@ use, from the models trained on all training rows.
 
 The models are fitted on a bounded sample of the labelled rows, the least by a
 hash of doc_id in each combination of labels, ROWS at most of each, weighted
-back to the share that the combination has among all labels. Every document is
-scored, by its whole text.
+back to the share that the combination has among all labels. A model is sparse
+by design: of the features of its training rows it has those that at least
+LEAST_ROWS rows have and that tell the category apart with a z-score over
+LEAST_Z, and the FEATURES best of these. These four bounds are parameters of
+the fit alone; every document is scored, by its whole text.
 
 The labels at hand have two columns, so the chain is ``low_quality`` and then
 ``toxic``; ``CATEGORIES`` takes any number.
@@ -18,8 +21,10 @@ The labels at hand have two columns, so the chain is ``low_quality`` and then
 Defined cases: a text that is null or has no words is scored by the intercepts;
 labels with a null in any category, or whose doc_id is null or not among the
 documents, aren't used; a doc_id labelled twice counts with its largest label;
+of labelled rows that repeat a doc_id the text of the least hash is learnt from;
 without labels, or where a category has one value only, the probability is that
-value's share and no text is rejected on its account (0 without any label);
+value's share, but at most 0.499, so that no text is rejected on its account
+(0 without any label);
 repeated rows are scored each; an empty table gives no rows; extra columns are
 ignored, and kept by ``keep_clean``.
 """
@@ -33,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bounded
+from ._spark import bounded, ship
 from ._text import Words, chunked
 
 #: Category and how the labels give it, in the order of the chain.
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 ROWS = 1500
 FEATURES = 6000
+LEAST_Z, LEAST_ROWS = 3.0, 3
 FOLDS = 5
 PENALTY = 1e-3
 THRESHOLD = 0.5
@@ -60,24 +66,23 @@ class Linear:
         self.hashes, self.weights, self.bias = hashes, weights, bias
 
     @staticmethod
-    def fit(rows: np.ndarray, hashes: np.ndarray, n: int, y: np.ndarray, sample_weight: np.ndarray, earlier: np.ndarray, penalty: float = PENALTY) -> Linear:
-        """rows, hashes: the present features, each once a row; earlier: n x k log-odds."""
+    def fit(rows: np.ndarray, index: np.ndarray, own: np.ndarray, n: int, y: np.ndarray, sample_weight: np.ndarray, earlier: np.ndarray, penalty: float = PENALTY) -> Linear:
+        """rows, index: the present features as places in own (sorted hashes), each once a row; earlier: n x k log-odds."""
         k = earlier.shape[1]
         w = sample_weight / sample_weight.sum()
         rate = float((w * y).sum())
         if n == 0 or y.min() == y.max():
             p = min(max(rate if n else 0.0, 1e-6), 0.499)
             return Linear(np.zeros(0, _U), np.zeros(k), float(np.log(p / (1 - p))))
-        own, index = np.unique(hashes, return_inverse=True)
         pos = np.bincount(index, weights=y[rows], minlength=len(own))
         all_ = np.bincount(index, minlength=len(own))
         n1, n0 = y.sum(), n - y.sum()
         p = all_ / n
         z = np.abs(pos / n1 - (all_ - pos) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
         order = np.argsort(-z, kind="stable")[:FEATURES]
-        chosen = np.sort(order[(z[order] > 3) & (all_[order] >= 3)])
-        place = np.full(len(own), -1)
-        place[chosen] = np.arange(len(chosen))
+        chosen = np.sort(order[(z[order] > LEAST_Z) & (all_[order] >= LEAST_ROWS)])
+        place = np.full(len(own), -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
         use = place[index] >= 0
         r, c = rows[use], place[index][use]
         m = len(chosen)
@@ -98,8 +103,10 @@ class Linear:
             g = back(w * (1 / (1 + np.exp(-dot(ahead))) - y)) + reg * ahead
             new = ahead - step * g
             t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            ahead = new + (t - 1) / t2 * (new - x)
+            ahead, moved = new + (t - 1) / t2 * (new - x), np.abs(new - x).max()
             x, t = new, t2
+            if moved < 1e-5:
+                break
         return Linear(own[chosen], x[:-1], float(x[-1]))
 
     def odds(self, rows: np.ndarray, hashes: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
@@ -115,9 +122,11 @@ class Linear:
 def fit_chain(rows: np.ndarray, hashes: np.ndarray, n: int, labels: np.ndarray, weight: np.ndarray) -> list[Linear]:
     """labels: n x categories. Each model's earlier log-odds are out-of-fold."""
     fold, chain, earlier = np.arange(n) % FOLDS, [], np.zeros((n, 0))
+    own, index = np.unique(hashes, return_inverse=True)
+    index = index.astype(np.int32)
     for j in range(labels.shape[1]):
         y = labels[:, j].astype(float)
-        chain.append(Linear.fit(rows, hashes, n, y, weight, earlier))
+        chain.append(Linear.fit(rows, index, own, n, y, weight, earlier))
         if j < labels.shape[1] - 1:
             odds = np.zeros(n)
             for f in range(FOLDS):
@@ -125,12 +134,12 @@ def fit_chain(rows: np.ndarray, hashes: np.ndarray, n: int, labels: np.ndarray,
                 if not len(train) or not len(test):
                     odds[test] = chain[-1].bias
                     continue
-                to = np.full(n, -1)
-                to[train] = np.arange(len(train))
+                to = np.full(n, -1, np.int32)
+                to[train] = np.arange(len(train), dtype=np.int32)
                 use = to[rows] >= 0
-                model = Linear.fit(to[rows[use]], hashes[use], len(train), y[train], weight[train], earlier[train])
-                to = np.full(n, -1)
-                to[test] = np.arange(len(test))
+                model = Linear.fit(to[rows[use]], index[use], own, len(train), y[train], weight[train], earlier[train])
+                to = np.full(n, -1, np.int32)
+                to[test] = np.arange(len(test), dtype=np.int32)
                 use = to[rows] >= 0
                 odds[test] = model.odds(to[rows[use]], hashes[use], len(test), earlier[test])
             earlier = np.column_stack([earlier, odds])
@@ -146,6 +155,7 @@ def predict_chain(chain: list[Linear], rows: np.ndarray, hashes: np.ndarray, n:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, rows: int = ROWS) -> list[Linear]:
+    ship(docs.sparkSession)
     names = [c for c, _ in categories]
     values = [F.expr(e).cast("int").alias(c) for c, e in categories]
     known = labels.select("doc_id", *values).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
@@ -163,13 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
             own = [np.unique(h[:, a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *names, "_weight")], pa.array(own, pa.binary())], names=["doc_id", *names, "_weight", "h"])
 
-    rows_ = docs.select("doc_id", F.lower("text").alias("text")).join(picked, "doc_id").dropDuplicates(["doc_id"])
+    rows_ = docs.select("doc_id", F.lower("text").alias("text")).join(picked, "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows_ = rows_.withColumn("_first", first).where("_first = 1").drop("_first")
     found = rows_.mapInArrow(write, picked.select("doc_id", *names, "_weight").schema.add("h", "binary")).toArrow().sort_by("doc_id")
     sets = [np.frombuffer(x, _U) for x in found.column("h").to_pylist()]
     n = len(sets)
     y = np.stack([found.column(c).to_numpy() for c in names], 1).astype(float) if n else np.zeros((0, len(names)))
     hashes = np.concatenate(sets) if n else np.zeros(0, _U)
-    return fit_chain(np.repeat(np.arange(n), [len(s) for s in sets]) if n else np.zeros(0, int), hashes, n, y, found.column("_weight").to_numpy().astype(float) if n else np.zeros(0))
+    return fit_chain(np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets]) if n else np.zeros(0, np.int32), hashes, n, y, found.column("_weight").to_numpy().astype(float) if n else np.zeros(0))
 
 
 def _scored(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], columns: list[str]) -> DataFrame:
