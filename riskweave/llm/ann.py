@@ -269,7 +269,7 @@ def neighbors(vectors: DataFrame, queries: DataFrame | None = None, k: int = K,
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(np.frombuffer(extra[8 * n :], np.int64)[at]), *map(pa.array, parts)], names=["vec_id", "mark", "neighbor", "distance", "radius"])
 
     blocks = rows.mapInArrow(project, "dim int, vec_id bigint, mark bigint, v binary, p double").repartitionByRange(groups, "dim", "p", "vec_id").mapInArrow(pack, _ROW)
-    chunks = asked.select("dim", "vec_id", "mark", "v").mapInArrow(bound, "kind int, dim int, ids binary, v binary, extra binary")
+    chunks = asked.select("dim", "vec_id", "mark", "v").repartition(int(groups)).mapInArrow(bound, "kind int, dim int, ids binary, v binary, extra binary")
     chunks = chunks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(int(groups) - 1))))
     visits = blocks.unionByName(chunks).repartition(int(groups), "grp").sortWithinPartitions("grp", "kind", "dim")
     one = Window.partitionBy("vec_id", "mark")

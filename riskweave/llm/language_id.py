@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from ._spark import bounded
+from ._spark import bounded, ship
 from ._text import Words, chunked
 
 ROWS = 800
@@ -165,7 +165,7 @@ def viterbi(score: np.ndarray, penalty: np.ndarray) -> np.ndarray:
         value[b + 1] = (value[b][:, None] + through[b]).max(0)
         value[b + 1] -= value[b + 1].max()
     v = value[:-1].copy()
-    back = np.empty((width, blocks, s), np.int8)
+    back = np.empty((width, blocks, s), np.int16)
     for t in range(width):
         top = v.argmax(1)
         switched = v[np.arange(blocks), top] - cost[:, t]
@@ -230,6 +230,7 @@ def label(words: Words, model: Model) -> tuple[np.ndarray, list[int]]:
 
 def spans(docs: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> DataFrame:
     """doc_id, language of most words, n_words, and the spans: start (word), n_words and lang."""
+    ship(docs.sparkSession)
     model = train(docs, rows, penalty)
     names = np.array(model.languages)
 

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _blocks as B
+from ._spark import ship
 from ._text import Words, chunked
 
 #: The threshold as a fraction.
@@ -193,6 +194,8 @@ class Index:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
+    """One row for each block and template that it has: doc_id, block, template, overlap and containment; ``templates`` maps names to texts."""
+    ship(docs.sparkSession)
     index = Index(TEMPLATES if templates is None else templates, containment)
     texts = docs.select("doc_id", F.lower("text").alias("text"))
 

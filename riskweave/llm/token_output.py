@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from . import _blocks as B
-from ._spark import checkpoint
+from ._spark import checkpoint, ship
 from ._text import buffer, chunked, mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -271,6 +271,7 @@ def _checksum(ids: np.ndarray, wide: bool) -> int:
 
 def tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and ids (binary, 16 bits each, or 32 where the vocabulary is larger) of each row; the table is in the shared folder."""
+    ship(docs.sparkSession)
     wide = len(_lengths(vocabulary)) > 65536
     docs.sparkSession.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
@@ -343,6 +344,7 @@ def output(docs: DataFrame, vocabulary: str = VOCABULARY, precision: int = PRECI
 
 def read_back(blocks: DataFrame) -> DataFrame:
     """doc_id, block and ids (array) of each block, checked against its checksum; a mismatch is an error."""
+    ship(blocks.sparkSession)
     table = np.frombuffer(bytes(blocks.where("block = -1").first()["payload"]), "<u4").astype(np.int64)
     wide = len(table) > 65536
 
