@@ -7,6 +7,11 @@ word at which it occurs.
 
 1. The hash order of k-mers is cut into fragments; each finds the k-mers that
    repeat and sends every occurrence, with the first coordinates, to its document.
+   Hot k-mers, which a bounded sample of documents shows to be in many, don't
+   meet in a fragment: each task finds their first coordinates in its own texts,
+   the least of these are the first of all, and a second pass over the texts sends
+   the occurrences to their documents. Which k-mers count as hot doesn't change
+   the result.
 2. Occurrences that follow each other in a document and at their first
    coordinates form a run: one path of the graph, compacted where it is read.
 3. Where a run follows directly on another, the two meet in a node that
@@ -48,7 +53,9 @@ from ._text import Words, chunked, mix
 
 K = 50
 #: Text bytes whose k-mers make a fragment; one fragment is held in memory at a time.
-FRAGMENT_BYTES = 24 << 20
+FRAGMENT_BYTES = 16 << 20
+#: Documents of the sample that shows hot k-mers, how often one must be in it, and how many are handled so at most.
+HOT_SAMPLE, HOT_COUNT, HOT_MOST = 20_000, 20, 200_000
 #: Bits of the filter of documents that take part in a join; the more documents, the more it lets through.
 FILTER_BITS = 23
 #: The place of a null doc_id.
@@ -89,21 +96,53 @@ def _key(docs: DataFrame, column: str = "doc_id") -> Column:
     return F.coalesce(integer_ids(docs, column), F.lit(LAST))
 
 
+def _kmers(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first word within the text) of all runs of k words of a batch."""
+    number = np.maximum(words.counts - k + 1, 0)
+    at = B.spans(number)
+    doc = np.repeat(np.arange(len(number)), number)
+    pos = np.arange(at[-1]) - at[doc]  # int64 here, 32 bits in the blocks
+    return (words.runs(words.first[doc] + pos, k) if len(doc) else np.zeros(0, _U)), doc, pos
+
+
+def _place(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash is in the sorted hot ones, or -1."""
+    if not len(hot):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return np.where(hot[at] == h, at, -1)
+
+
+def hot_kmers(rows: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the k-mers that are in a bounded sample of the documents (doc_id, text) HOT_COUNT times or more."""
+    total = rows.count()
+    share = F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, HOT_SAMPLE / max(total, 1)) * (1 << 30))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches):
+            h, n = np.unique(_kmers(Words(batch.column("text")), k)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = rows.where(share).select("text").mapInArrow(write, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    best = counts.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "h").limit(HOT_MOST).toArrow()
+    return np.sort(best.column("h").to_numpy().view(np.uint64))
+
+
 def runs(docs: DataFrame, k: int = K) -> DataFrame:
     """Runs of repeated k-mers, with the source coordinates of the k-mer directly before each, if that repeats too."""
     number = B.fragments(text_bytes(docs), FRAGMENT_BYTES)
     label = B.labels(number)
+    rows = docs.select(_key(docs).alias("doc_id"), F.lower("text").alias("text"))
+    hot = hot_kmers(rows, k)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             words = Words(batch.column("text"))
-            kmers = np.maximum(words.counts - k + 1, 0)
-            if not kmers.any():
+            h, doc, pos = _kmers(words, k)
+            cool = np.flatnonzero(_place(hot, h) < 0)
+            h, doc, pos = h[cool], doc[cool], pos[cool]
+            if not len(h):
                 continue
-            at = B.spans(kmers)
-            doc = np.repeat(np.arange(len(kmers)), kmers)
-            pos = np.arange(at[-1]) - at[doc]  # int64 here, 32 bits in the blocks
-            h = words.runs(words.first[doc] + pos, k)
             ids, sig = batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)
             fragment = B.fragment_of(h, number)
             o = B.sort_by(fragment)
@@ -115,6 +154,45 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
                 rows.append((int(label[fragment[a]]), ids[own].tobytes(), sig[own].tobytes(), count.astype(np.uint32).tobytes(), h[a:b].tobytes(), *_planes(pos[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], names=["fragment", "doc", "sig", "count", "key", "low", "high"])
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least and the largest coordinates of each hot k-mer in a chunk."""
+        for batch in chunked(batches):
+            words = Words(batch.column("text"))
+            h, doc, pos = _kmers(words, k)
+            place = _place(hot, h)
+            some = np.flatnonzero(place >= 0)
+            if not len(some):
+                continue
+            ids, sig = batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)
+            rank = np.empty(len(ids), np.int64)
+            rank[np.lexsort((sig, ids))] = np.arange(len(ids))
+            o = some[np.lexsort((pos[some], rank[doc[some]], place[some]))]
+            cut = _edges(place[o])
+            signed = (sig ^ _U(1 << 63)).view(np.int64)  # so that their order is that of the signatures
+            first, last = o[cut[:-1]], o[cut[1:] - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(place[first]), *[pa.array(x) for i in (first, last) for x in (ids[doc[i]], signed[doc[i]], pos[i])]], names=["i", "d0", "s0", "p0", "d1", "s1", "p1"])
+
+    def hot_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches):
+            words = Words(batch.column("text"))
+            h, doc, pos = _kmers(words, k)
+            place = _place(hot, h)
+            some = np.flatnonzero(place >= 0)
+            some = some[many[place[some]]]
+            if not len(some):
+                continue
+            ids, sig = batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)
+            bucket = B.fragment_of(mix(ids.view(np.uint64)), number)[doc[some]]
+            some = some[B.sort_by(bucket)]
+            cut = _edges(np.sort(bucket, kind="stable"))
+            rows = []
+            for a, b in zip(cut[:-1], cut[1:]):
+                own, at = doc[some[a:b]], place[some[a:b]]
+                which, count = np.unique(own, return_counts=True)
+                source, index = np.unique(np.stack([first_doc[at], first_sig[at].view(np.int64)]), axis=1, return_inverse=True)
+                rows.append((int(label[B.fragment_of(mix(ids[which[:1]].view(np.uint64)), number)[0]]), ids[which].tobytes(), sig[which].tobytes(), count.astype(np.uint32).tobytes(), *_planes(pos[some[a:b]]), index.astype(np.uint32).ravel().tobytes(), *_planes(first_pos[at]), source[0].tobytes(), source[1].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(11)], names=[x.split()[0] for x in _OCCURRENCES.split(", ")])
+
     def repeated(table: pa.Table) -> pa.Table:
         doc, sig, count = B.joined(table.column("doc"), np.int64), B.joined(table.column("sig"), np.uint64), B.joined(table.column("count"), np.uint32)
         key, pos, at = B.joined(table.column("key"), np.uint64), _from_planes(table.column("low"), table.column("high")), B.spans(count)
@@ -165,6 +243,8 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
         source = inverse[source]
         segment = np.repeat(np.arange(len(doc)), count)
         o = np.lexsort((pos, row[segment]))
+        r = row[segment[o]]
+        o = o[np.append(True, (r[1:] != r[:-1]) | (pos[o][1:] != pos[o][:-1]))] if len(o) else o  # rows that repeat are one document
         segment, pos, first, source = segment[o], pos[o], first[o], source[o]
         r = row[segment]
         next_ = (r[1:] == r[:-1]) & (pos[1:] == pos[:-1] + 1)
@@ -178,8 +258,15 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
         prior = [s_doc[same[source[before]]], signed(s_sig[same[source[before]]]), first[before]]
         return pa.table([*map(pa.array, out), *[pa.array(x, mask=~joint) for x in prior]], names=[x.split()[0] for x in _RUNS.split(", ")])
 
-    rows = docs.select(_key(docs).alias("doc_id"), F.lower("text").alias("text"))
     found = rows.mapInArrow(write, _POSTINGS).repartition(number, "fragment").groupBy("fragment").applyInArrow(repeated, _OCCURRENCES)
+    if len(hot):
+        sums = rows.mapInArrow(ends, "i bigint, d0 bigint, s0 bigint, p0 bigint, d1 bigint, s1 bigint, p1 bigint")
+        sums = sums.groupBy("i").agg(F.min(F.struct("d0", "s0", "p0")).alias("a"), F.max(F.struct("d1", "s1", "p1")).alias("b")).select("i", "a.*", "b.*").toArrow()
+        many, first_doc, first_sig, first_pos = np.zeros(len(hot), bool), *(np.zeros(len(hot), t) for t in (np.int64, _U, np.int64))
+        at, d, x, p, d1, x1, p1 = (sums.column(c).to_numpy() for c in ("i", "d0", "s0", "p0", "d1", "s1", "p1"))
+        many[at] = (d != d1) | (x != x1) | (p != p1)
+        first_doc[at], first_sig[at], first_pos[at] = d, x.view(np.uint64) ^ _U(1 << 63), p
+        found = found.unionByName(rows.mapInArrow(hot_occurrences, _OCCURRENCES))
     return checkpoint(found.repartition(number, "bucket").groupBy("bucket").applyInArrow(compact, _RUNS))
 
 
