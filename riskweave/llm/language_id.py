@@ -8,7 +8,7 @@ log-probability of the trigram around it, less the mean over languages. A script
 with no such language stands for one language by itself. Viterbi's algorithm
 then labels all words of a text at once, the best sum of scores less PENALTY for
 each switch of language. Words of digits only have no candidates of their own
-and take what their neighbours have.
+and take what their neighbours have; a text of such words alone is ``und``.
 
 Scores are integers, so sums don't depend on the order of additions; on ties
 staying beats switching and the earlier language in the alphabet the later.
@@ -19,7 +19,7 @@ are least by a hash of doc_id; every document is labelled, by its whole text.
 Defined cases: a text that is null or has no words has language ``und`` and no
 spans; so have words of a script that is in no range; documents whose lang or
 doc_id is null aren't learnt from; without labels each script stands for its
-language; repeated rows are labelled each; an empty table gives no rows; extra
+language; repeated rows are labelled each, and learnt from each; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -62,7 +62,7 @@ SCRIPTS: tuple[tuple[str, str, tuple[tuple[int, int], ...]], ...] = (
 _OTHER = len(SCRIPTS) + 1
 _ASCII = np.zeros(256, np.uint8)
 _ASCII[65:91] = _ASCII[97:123] = 1
-_bounds = sorted((p, s) for s, (_, _, ranges) in enumerate(SCRIPTS, 1) for r in ranges for p, s in ((r[0], s), (r[1], 0)))
+_bounds = sorted(x for s, (_, _, ranges) in enumerate(SCRIPTS, 1) for a, b in ranges for x in ((a, s), (b, 0)))
 _starts = [(0, 0)]
 for _p, _s in _bounds:
     if _p == _starts[-1][0]:
@@ -126,8 +126,8 @@ class Model:
         self.table = np.round((logs - logs.mean(1, keepdims=True)) * _SCALE).astype(np.int32) if trained else logs.astype(np.int32)
         self.penalty = int(penalty * _SCALE)
 
-    def scores(self, words: Words) -> tuple[np.ndarray, list[int]]:
-        """words x states, for the languages that are a candidate of some word here; and these languages."""
+    def scores(self, words: Words) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """words x states, for the languages that are a candidate of some word here; these languages; and the words' scripts."""
         script = scripts(words)
         states = np.flatnonzero(self.allowed[np.unique(script[script > 0])].any(0)).tolist() if (script > 0).any() else [self.languages.index("und")]
         out = np.zeros((len(script), len(states)), np.int64)
@@ -137,7 +137,7 @@ class Model:
                 out[:, j] = np.add.reduceat(self.table[slot, self.trained.index(s)], at, dtype=np.int64)
         out[script == 0] = 0
         out[~self.allowed[script][:, states]] = _NEVER
-        return out, states
+        return out, states, script
 
 
 def viterbi(score: np.ndarray, penalty: np.ndarray) -> np.ndarray:
@@ -221,11 +221,12 @@ def train(docs: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> Model:
     return Model(counts, script_of, penalty)
 
 
-def label(words: Words, model: Model) -> tuple[np.ndarray, list[int]]:
-    score, states = model.scores(words)
+def label(words: Words, model: Model) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """The state of each word, the languages that the states are, and the words' scripts."""
+    score, states, script = model.scores(words)
     penalty = np.full(len(words), model.penalty)
     penalty[words.first[:-1][words.counts > 0]] = 0
-    return viterbi(score, penalty), states
+    return viterbi(score, penalty), states, script
 
 
 def spans(docs: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> DataFrame:
@@ -237,17 +238,18 @@ def spans(docs: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> DataFr
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             words = Words(batch.column("text"))
-            path, states = label(words, model) if len(words) else (np.zeros(0, np.int64), [0])
+            path, states, script = label(words, model) if len(words) else (np.zeros(0, np.int64), [0], np.zeros(0, np.int64))
             doc, first = words.doc, words.first
+            und = np.bincount(doc, weights=script > 0, minlength=batch.num_rows) == 0  # no word says anything
             new = np.append(True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])) if len(path) else np.zeros(0, bool)
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(path)))
-            lang = names[np.array(states)[path[at]]] if len(at) else np.zeros(0, str)
+            lang = np.where(und[doc[at]], "und", names[np.array(states)[path[at]]]) if len(at) else np.zeros(0, str)
             items = pa.StructArray.from_arrays([pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lang.tolist(), pa.string())], names=["start", "n_words", "lang"])
             offsets = np.searchsorted(doc[at], np.arange(batch.num_rows + 1)).astype(np.int32)
             share = np.zeros((batch.num_rows, len(states)), np.int64)
             np.add.at(share, (doc[at], path[at]), n)
-            top = np.where(words.counts > 0, names[np.array(states)[share.argmax(1)]], "und")
+            top = np.where(~und, names[np.array(states)[share.argmax(1)]], "und")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(top.tolist(), pa.string()), pa.array(words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["doc_id", "language", "n_words", "spans"])
 
     schema = docs.select("doc_id").schema.add("language", "string").add("n_words", "long")
