@@ -2,7 +2,8 @@
 
 The leaves of a domain > language > source tree hold tokens (runs of characters
 other than blank, tab and line ends). A token budget goes down the tree in
-proportion to integer weights. A node can absorb its tokens times ``epochs``;
+proportion to integer weights of domains, languages and sources (``Targets``).
+A node can absorb its tokens times ``epochs``;
 what a child cannot absorb goes to its siblings by their weights, and only what
 a whole subtree cannot absorb reaches the siblings of its ancestors. All
 arithmetic is on integers, so shares add up to the budget exactly.
@@ -24,6 +25,8 @@ no rows; extra columns are kept by ``apply`` whatever their names.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +36,37 @@ SEED = 20240611
 EPOCHS = 2
 #: The budget as a share of all tokens.
 TARGET = (9, 10)
-DOMAIN_WEIGHTS = {"domain0": 35, "domain1": 30, "domain2": 20, "domain3": 15}
-LANG_WEIGHTS = {"en": 55, "fr": 18, "de": 17, "es": 10}
-SOURCE_WEIGHTS: dict[str, int] = {}
-OTHER_WEIGHT = 5
+
+@dataclass(frozen=True)
+class Targets:
+    """The tree and its weights: the sources of each domain, and the weights of domains, languages and sources; what has none weighs ``other``.
+
+    A source that no domain names is of the domain ``other``.
+    """
+
+    domains: dict[str, tuple[str, ...]]
+    domain_weights: dict[str, int]
+    lang_weights: dict[str, int]
+    source_weights: dict[str, int]
+    other: int = 5
+
+    def domain(self) -> str:
+        """The domain of ``source``, as an expression of either engine."""
+        names = lambda xs: ", ".join(_quoted(x) for x in xs)
+        return f"case {' '.join(f'when source in ({names(v)}) then {_quoted(k)}' for k, v in sorted(self.domains.items()) if v)} else 'other' end" if any(self.domains.values()) else "'other'"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+TARGETS = Targets(
+    {"web": tuple(f"src{i}" for i in range(10)), "books": tuple(f"src{i}" for i in range(10, 14)), "reference": tuple(f"src{i}" for i in range(14, 17)), "news": ("src17", "src18")},
+    {"web": 40, "books": 25, "reference": 20, "news": 10},
+    {"en": 55, "fr": 18, "de": 17, "es": 10},
+    {"src0": 20, "src1": 10, "src2": 10, "src10": 12, "src14": 8},
+)
 TOKEN = "[^ \\t\\r\\n]+"
-DOMAIN = "case when source rlike '[0-9]$' then concat('domain', cast(cast(regexp_extract(source, '([0-9]{1,9})$', 1) as bigint) % 4 as string)) else 'other' end"
 #: Hash ranges of the first step of finding a prefix; it doesn't change the result.
 RANGES_BITS = 12
 _P = "_mix_"
@@ -54,8 +82,8 @@ def seeded_hash(seed: int, epoch: Column, doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
 
 
-def _weight(column: str, weights: dict[str, int]) -> Column:
-    w = F.lit(OTHER_WEIGHT)
+def _weight(column: str, weights: dict[str, int], other: int) -> Column:
+    w = F.lit(other)
     for name, value in sorted(weights.items()):
         w = F.when(F.col(column) == name, value).otherwise(w)
     return w.cast("bigint")
@@ -85,26 +113,26 @@ def share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return d.drop("_before", "_rest", "_left", "_full", "_w", "_total", "_r", "_c", "_root")
 
 
-def leaf_columns(docs: DataFrame) -> DataFrame:
+def leaf_columns(docs: DataFrame, targets: Targets) -> DataFrame:
     """Adds the leaf, the token count and the row's key, under names that no table uses."""
     return docs.withColumns({
-        _P + "domain": F.expr(DOMAIN),
+        _P + "domain": F.expr(targets.domain()),
         _P + "lang": F.coalesce(F.col("lang").cast("string"), F.lit("und")),
         _P + "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
         _P + "n": n_tokens(),
     })
 
 
-def budgets(slim: DataFrame, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
+def budgets(slim: DataFrame, targets: Targets = TARGETS, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
     """One row a leaf: its tokens and the tokens that it has to give."""
     leaves = slim.groupBy("domain", "lang", "source").agg(F.sum("n").alias("tokens")).withColumn("cap", F.col("tokens") * epochs)
     two = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     top = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
     everything = Window.partitionBy(F.lit(0))
     top = top.withColumn("budget", F.least(F.expr(f"(sum(tokens) over (partition by 0) * {target[0]}) div {target[1]}"), F.sum("cap").over(everything)))
-    top = share(top.withColumn("weight", _weight("domain", DOMAIN_WEIGHTS)), [], "domain").select("domain", F.col("alloc").alias("budget"))
-    two = share(two.join(top, "domain").withColumn("weight", _weight("lang", LANG_WEIGHTS)), ["domain"], "lang").select("domain", "lang", F.col("alloc").alias("budget"))
-    return share(leaves.join(two, ["domain", "lang"]).withColumn("weight", _weight("source", SOURCE_WEIGHTS)), ["domain", "lang"], "source").select(
+    top = share(top.withColumn("weight", _weight("domain", targets.domain_weights, targets.other)), [], "domain").select("domain", F.col("alloc").alias("budget"))
+    two = share(two.join(top, "domain").withColumn("weight", _weight("lang", targets.lang_weights, targets.other)), ["domain"], "lang").select("domain", "lang", F.col("alloc").alias("budget"))
+    return share(leaves.join(two, ["domain", "lang"]).withColumn("weight", _weight("source", targets.source_weights, targets.other)), ["domain", "lang"], "source").select(
         "domain", "lang", "source", "tokens", "alloc"
     )
 
@@ -137,25 +165,25 @@ def _taken(rows: DataFrame, names: dict[str, str], seed: int) -> DataFrame:
     return rows.withColumns({_P + "epoch": F.col(_P + "e.epoch"), _P + "take": F.col(_P + "e.take")}).drop(_P + "e")
 
 
-def _plan(docs: DataFrame, seed: int, epochs: int, target: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    slim = leaf_columns(docs).select(F.col(_P + "domain").alias("domain"), F.col(_P + "lang").alias("lang"), F.col(_P + "source").alias("source"), "doc_id", F.col(_P + "n").alias("n"))
+def _plan(docs: DataFrame, targets: Targets, seed: int, epochs: int, target: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    slim = leaf_columns(docs, targets).select(F.col(_P + "domain").alias("domain"), F.col(_P + "lang").alias("lang"), F.col(_P + "source").alias("source"), "doc_id", F.col(_P + "n").alias("n"))
     slim = checkpoint(slim.where("n > 0"))
     # the leaves go to the rows, as a hot leaf's rows must not meet in one task; very many leaves are joined by key
-    return slim, bounded(cutoffs(slim, bounded(budgets(slim, epochs, target)), seed))
+    return slim, bounded(cutoffs(slim, bounded(budgets(slim, targets, epochs, target)), seed))
 
 
-def select(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
+def select(docs: DataFrame, targets: Targets = TARGETS, seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
     """The selection: doc_id, domain, lang, source, epoch, and the number of the row's tokens taken."""
-    slim, cut = _plan(docs, seed, epochs, target)
+    slim, cut = _plan(docs, targets, seed, epochs, target)
     rows = _taken(slim.join(cut, ["domain", "lang", "source"]), {k: k for k in ("n", "full", "edge", "edge_take")}, seed)
     return rows.select("doc_id", "domain", "lang", "source", F.col(_P + "epoch").alias("epoch"), F.col(_P + "take").alias("n_tokens"))
 
 
-def apply(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
+def apply(docs: DataFrame, targets: Targets = TARGETS, seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> DataFrame:
     """The mixed documents, a row for each epoch that takes them, with the columns of ``docs``; a row taken in part keeps its first tokens, and n_chars follows the text."""
-    slim, cut = _plan(docs, seed, epochs, target)
+    slim, cut = _plan(docs, targets, seed, epochs, target)
     cut = cut.select(*[F.col(c).alias(_P + c) for c in cut.columns])
-    rows = _taken(leaf_columns(docs).join(cut, [_P + "domain", _P + "lang", _P + "source"]), {k: _P + k for k in ("n", "full", "edge", "edge_take")}, seed)
+    rows = _taken(leaf_columns(docs, targets).join(cut, [_P + "domain", _P + "lang", _P + "source"]), {k: _P + k for k in ("n", "full", "edge", "edge_take")}, seed)
     pieces = F.regexp_extract_all("text", F.lit("[ \\t\\r\\n]*" + TOKEN), F.lit(0))
     cutting = F.col(_P + "take") < F.col(_P + "n")
     text = F.when(cutting, F.array_join(F.slice(pieces, F.lit(1), F.col(_P + "take").cast("int")), "")).otherwise(F.col("text"))
@@ -165,8 +193,8 @@ def apply(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, target: tuple
     return rows.select(*docs.columns)
 
 
-def _case(column: str, weights: dict[str, int]) -> str:
-    return f"case {' '.join(f"when {column} = '{k}' then {v}" for k, v in sorted(weights.items()))} else {OTHER_WEIGHT} end" if weights else str(OTHER_WEIGHT)
+def _case(column: str, weights: dict[str, int], other: int) -> str:
+    return f"case {' '.join(f'when {column} = {_quoted(k)} then {v}' for k, v in sorted(weights.items()))} else {other} end" if weights else str(other)
 
 
 def _share_sql(source: str, parents: str, name: str) -> str:
@@ -180,14 +208,14 @@ def _share_sql(source: str, parents: str, name: str) -> str:
        <= (budget - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0))::hugeint * weight)::int f from {source}))))"""
 
 
-def oracle(seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> str:
+def oracle(targets: Targets = TARGETS, seed: int = SEED, epochs: int = EPOCHS, target: tuple[int, int] = TARGET) -> str:
     h = f"('0x' || substr(md5('{seed}:' || \"full\" || ':' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint"
-    return f"""with slim as (select doc_id, case when regexp_matches(source, '[0-9]$') then 'domain' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::bigint % 4) else 'other' end as domain,
+    return f"""with slim as (select doc_id, {targets.domain()} as domain,
     coalesce(lang, 'und') as lang, coalesce(source, '') as source, len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::bigint n from documents where len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 0),
-  leaves as (select domain, lang, source, sum(n)::bigint tokens, (sum(n) * {epochs})::bigint cap, {_case('source', SOURCE_WEIGHTS)}::bigint weight from slim group by all),
-  top as (select domain, sum(cap)::bigint cap, {_case('domain', DOMAIN_WEIGHTS)}::bigint weight, (select least((sum(tokens)::bigint * {target[0]}) // {target[1]}, sum(cap)) from leaves)::bigint budget from leaves group by domain),
+  leaves as (select domain, lang, source, sum(n)::bigint tokens, (sum(n) * {epochs})::bigint cap, {_case('source', targets.source_weights, targets.other)}::bigint weight from slim group by all),
+  top as (select domain, sum(cap)::bigint cap, {_case('domain', targets.domain_weights, targets.other)}::bigint weight, (select least((sum(tokens)::bigint * {target[0]}) // {target[1]}, sum(cap)) from leaves)::bigint budget from leaves group by domain),
   topa as (select domain, alloc budget from {_share_sql('top', '', 'domain')}),
-  two as (select domain, lang, sum(cap)::bigint cap, {_case('lang', LANG_WEIGHTS)}::bigint weight, any_value(budget)::bigint budget from leaves join topa using (domain) group by domain, lang),
+  two as (select domain, lang, sum(cap)::bigint cap, {_case('lang', targets.lang_weights, targets.other)}::bigint weight, any_value(budget)::bigint budget from leaves join topa using (domain) group by domain, lang),
   twoa as (select domain, lang, alloc budget from {_share_sql('two', 'domain', 'lang')}),
   three as (select leaves.*, twoa.budget::bigint budget from leaves join twoa using (domain, lang)),
   leaf as (select domain, lang, source, (alloc // tokens)::bigint "full", (alloc % tokens)::bigint part from {_share_sql('three', 'domain, lang', 'source')}),
