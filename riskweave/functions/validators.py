@@ -85,7 +85,7 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {"dni": dni, "nie": nie, "ni
 
 
 def luhn(v: Column) -> Column:
-    """Extension: the reference accepts cards by their shape alone."""
+    """Extension: the pattern of cards asks for their shape alone."""
     return _is(F.luhn_check(v))
 
 

@@ -59,11 +59,17 @@ def scannable(config: Exclusions = Exclusions()) -> Column:
 
 
 def representatives(files: DataFrame) -> DataFrame:
-    """One file of each group of equal volume, size and extension, the most sensitive zone first; with the size of its group."""
+    """One file of each group of equal volume, size and extension, the most sensitive zone first; with the size of its group.
+
+    A group is aggregated where its rows are, so a large one (all empty files of
+    an extension) meets in no task.
+    """
     rank = F.when(F.col("zone") == "sensitive", 0).when(F.col("zone") == "archive", 2).otherwise(1)
-    group = Window.partitionBy("volume_root", "size", "extension")
-    rows = files.withColumns({"_place": F.row_number().over(group.orderBy(rank, "path_hash")), "group_size": F.count("*").over(group)})
-    return rows.where("_place = 1").drop("_place")
+    keys = ["volume_root", "size", "extension"]
+    rest = [c for c in files.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(rank, F.col("path_hash")))
+    rows = files.groupBy(*keys).agg(best.alias("_best"), F.count("*").alias("group_size"))
+    return rows.select(*[F.col(f"_best.{c}").alias(c) if c in rest else F.col(c) for c in files.columns], "group_size")
 
 
 def dedup_stats(files: DataFrame) -> DataFrame:
@@ -152,8 +158,25 @@ def folders(files: DataFrame, config: Exclusions = Exclusions()) -> DataFrame:
 
 
 def mount_of(files: DataFrame, mounts: DataFrame) -> DataFrame:
-    """path with the longest mount point that begins it, by an equi-join on the path's own prefixes."""
+    """Each distinct path with the longest mount point that begins it, by an equi-join on the path's own prefixes; null where none does."""
     cuts = F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1)
     prefixes = F.transform(cuts, lambda i: F.when((i == 0) & F.startswith("path", F.lit("/")), F.lit("/")).otherwise(F.array_join(F.slice(F.split("path", "/"), F.lit(1), i + 1), "/")))
-    rows = files.select("path", F.explode(F.array_distinct(prefixes)).alias("mount_point")).join(mounts, "mount_point")
-    return rows.groupBy("path").agg(F.max_by(F.struct("mount_point", "fs_type"), F.length("mount_point")).alias("m")).select("path", "m.mount_point", "m.fs_type")
+    rows = files.select("path").distinct().select("path", F.explode(F.array_distinct(prefixes)).alias("mount_point")).join(mounts.withColumn("_there", F.lit(True)), "mount_point", "left")
+    longest = F.max_by(F.when(F.col("_there"), F.struct("mount_point", "fs_type")), F.when(F.col("_there"), F.length("mount_point")))
+    return rows.groupBy("path").agg(longest.alias("m")).select("path", "m.mount_point", "m.fs_type")
+
+
+NETWORK_FS = tuple(sorted("9p afs afpfs ceph cifs davfs fuse.cephfs fuse.davfs2 fuse.glusterfs fuse.rclone fuse.s3fs fuse.sshfs glusterfs lustre ncpfs nfs nfs4 smb2 smb3 smbfs".split()))
+
+
+def mountinfo(lines: DataFrame, line: str = "line") -> DataFrame:
+    """mount_point and fs_type of the lines of a mount table; octal escapes for blanks are resolved."""
+    point = F.regexp_extract(line, r"^\d+ \d+ \d+:\d+ \S+ (\S+) ", 1)
+    kind = F.regexp_extract(line, r" - (\S+) ", 1)
+    return lines.select(F.replace(F.replace(point, F.lit("\\040"), F.lit(" ")), F.lit("\\011"), F.lit("\t")).alias("mount_point"), kind.alias("fs_type")).where("mount_point != '' and fs_type != ''")
+
+
+def on_network(files: DataFrame, mounts: DataFrame, kinds: tuple[str, ...] = NETWORK_FS) -> DataFrame:
+    """path and is_network: whether any mount of a network file system begins the path."""
+    found = mount_of(files, mounts.where(F.col("fs_type").isin(*kinds)))
+    return found.select("path", F.col("mount_point").isNotNull().alias("is_network"))

@@ -220,6 +220,7 @@ def redact(config: Column) -> Column:
 # --- logs, reports and health -----------------------------------------------------------------------
 
 _STAMP = r"([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})"
+LOG_RANGE = 100_000
 STARTED, ENDED = r"(?:BEGIN SCAN|Starting scan|Scan started)", r"(?:END SCAN|Scan finished|Scan completed)"
 
 
@@ -231,8 +232,13 @@ def log_sessions(lines: DataFrame, log: str = "log_id") -> DataFrame:
     """
     rows = lines.withColumns({"is_start": F.col("line").rlike(_STAMP + ".*" + STARTED), "is_end": F.col("line").rlike(_STAMP + ".*" + ENDED), "ts": F.try_to_timestamp(F.regexp_extract("line", _STAMP, 1), F.lit("yyyy-MM-dd HH:mm:ss"))})
     rows = rows.withColumn("files", F.regexp_extract("line", r"(?:Found|Processed|Scanned)\s*([0-9]+)\s*files", 1).try_cast("bigint"))
-    upto = Window.partitionBy(log).orderBy("line_no")
-    rows = rows.withColumn("scan", F.sum(F.col("is_start").cast("int")).over(upto)).where("scan > 0")
+    # scans are numbered by ranges of lines, so that a long log is no single task
+    rows = rows.withColumn("_range", F.expr(f"line_no div {LOG_RANGE}"))
+    starts = rows.groupBy(log, "_range").agg(F.sum(F.col("is_start").cast("int")).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(log).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(starts.select(log, "_range", before.alias("_before")), [log, "_range"])
+    upto = Window.partitionBy(log, "_range").orderBy("line_no")
+    rows = rows.withColumn("scan", F.col("_before") + F.sum(F.col("is_start").cast("int")).over(upto)).where("scan > 0")
     own = Window.partitionBy(log, "scan").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_over", F.coalesce(F.max("is_end").over(own), F.lit(False))).where("not _over")
     each = rows.groupBy(log, "scan").agg(F.min(F.when(F.col("is_start"), F.col("ts"))).alias("started"), F.max(F.when(F.col("is_end"), F.col("ts"))).alias("ended"), F.coalesce(F.max_by("files", F.when(F.col("files").isNotNull(), F.col("line_no"))), F.lit(0)).alias("files"))

@@ -62,15 +62,20 @@ def _names(order: Column) -> Column:
     return F.element_at(F.array(*[F.lit(p.name) for p in PATTERNS]), order + 1)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Moves the rows of a table that comes in fewer partitions than there are cores; the search costs far more than that. A large table stays where it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals out the rows of files that are fewer than the cores and too small to be read in parts; the search costs far more than that. It looks at the plan alone and starts no job."""
+    spark = rows.sparkSession
+    if rows.isStreaming:
+        return rows
+    cores, files = spark.sparkContext.defaultParallelism, len(rows.inputFiles())
+    part = rows.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(4 * cores) if 0 < files < cores and size < cores * part else rows
 
 
 def raw_matches(docs: DataFrame, key: str, text: str, mode: str = "line", patterns: list[str] | None = None) -> DataFrame:
     """Each valid match: key, line, type_ord, type, pos, value, norm."""
-    rows = _spread(docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null"))
+    rows = spread(docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null"))
     if mode == "line":
         rows = rows.select(key, F.posexplode(F.split("_text", "\n")).alias("line", "_text")).where("_text != ''")
     else:
@@ -154,15 +159,21 @@ API_WORDS = ("access_token", "api-key", "api_key", "apikey", "secret_key")
 PHONE_WORDS = ("+33", "06 ", "06.", "07 ", "07.")
 
 
-def coarse_flags(text: Column) -> dict[str, Column]:
-    """flags (bitmask), hits and hits per KB by substring counts alone."""
+def coarse_flags(text: Column) -> Column:
+    """flags (bitmask), hits and hits per KB by substring counts alone. The counts are made once, as one structure."""
     times = lambda w: (F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)
     phone = reduce(lambda a, b: a + b, [times(w) for w in PHONE_WORDS]).cast("bigint")
-    runs = F.size(F.filter(F.split(text, "[^0-9]"), lambda x: F.length(x).between(13, 19)))
-    iban = F.contains(text, F.lit("FR")) & (F.length(F.regexp_replace(text, "[^0-9]", "")) > 20)
+    # a run of digits that is neither shorter nor longer: the rest of a longer one is taken with it
+    runs = F.size(F.filter(F.regexp_extract_all(text, F.lit("[0-9]{13,}"), F.lit(0)), lambda x: F.length(x) <= 19))
+    iban = F.contains(text, F.lit("FR")) & (F.regexp_count(text, F.lit("[0-9]")) > 20)
     api = F.lower(text).rlike("|".join(API_WORDS))
     jwt = F.contains(text, F.lit("eyJ")) & (times(".") >= 2)
     hits = {"email": times("@").cast("bigint"), "phone_fr": phone, "iban": iban.cast("bigint"), "credit_card": runs.cast("bigint"), "api_key": api.cast("bigint"), "jwt_token": jwt.cast("bigint")}
-    flags = reduce(lambda a, b: a + b, [F.when(n > 0, F.lit(1 << FLAG_BITS[k])).otherwise(0) for k, n in hits.items()])
-    total = reduce(lambda a, b: a + b, hits.values())
-    return {"flags": flags.cast("bigint"), "hits": total, "density": F.round(total / (F.octet_length(text) / 1024.0), 4)}
+    once = F.array(F.struct(*[n.alias(k) for k, n in hits.items()]))
+
+    def packed(h: Column) -> Column:
+        flags = reduce(lambda a, b: a + b, [F.when(h[k] > 0, F.lit(1 << FLAG_BITS[k])).otherwise(0) for k in hits])
+        total = reduce(lambda a, b: a + b, [h[k] for k in hits])
+        return F.struct(flags.cast("bigint").alias("flags"), total.alias("hits"), F.round(total / (F.octet_length(text) / 1024.0), 4).alias("density"))
+
+    return F.get(F.transform(once, packed), F.lit(0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import content, files, metadata, pii, streams, tables
+from . import catalog, cloud, content, files, metadata, pii, streams, tables
 from ._common import Query
 
-_MODULES = (pii, tables, files, content, metadata, streams)
+_MODULES = (pii, tables, catalog, cloud, files, content, metadata, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -1,11 +1,13 @@
-"""Helpers of the query modules: tables, literal tables in both engines, and SQL spelling."""
+"""Helpers of the query modules: tables, frames derived from them in both engines, and SQL spelling."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,32 +19,19 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_DUCK = {"string": "varchar", "int": "int", "bigint": "bigint", "double": "double", "boolean": "boolean", "array<string>": "varchar[]", "timestamp": "timestamp"}
+class Derived:
+    """A frame derived from tables of the folder by one statement, which both engines run alike."""
 
+    def __init__(self, text: str):
+        self.text = " ".join(text.split())
+        self.sql = f"({self.text})"
 
-def _literal(v: object) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, list):
-        return "[" + ", ".join(map(_literal, v)) + "]"
-    return quote(v) if isinstance(v, str) else repr(v)
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        found: dict[str, DataFrame] = {}
 
+        def name(m: re.Match) -> str:
+            found.setdefault(m[2], table(spark, sf_dir, m[2]))
+            return f"{m[1]} {{{m[2]}}}"
 
-class Literal:
-    """A small table of literals, for both engines."""
-
-    def __init__(self, schema: str, rows: Sequence[tuple]):
-        self.schema, self.rows = schema, rows
-        self.columns = [c.strip().split(" ", 1) for c in schema.split(", ")]
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
-
-    @property
-    def sql(self) -> str:
-        names = [c for c, _ in self.columns]
-        values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
-        casts = ", ".join(f"{c}::{_DUCK[t]} as {c}" for c, t in self.columns)
-        return f"(select {casts} from (values {values}) t({', '.join(names)}))"
+        text = re.sub(rf"\b(from|join) ({'|'.join(TABLES)})\b", name, self.text)
+        return spark.sql(text, **found)

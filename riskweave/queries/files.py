@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import files, pii
-from ._common import Literal, Query, quote, table
+from ._common import Derived, Query, quote, table
 from .pii import matches_sql
 
 AS_OF = 1_702_000_000.0
@@ -133,7 +133,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.summary(rows)
 
 
-MOUNTS = Literal("mount_point string, fs_type string", [("/", "ext4"), ("/mnt/vol1", "nfs4"), ("/mnt", "ext4"), ("/srv", "xfs"), ("/srv/data", "cifs"), ("/mnt/vol2/archive", "fuse.sshfs")])
+MOUNTS = Derived("select * from (values ('/', 'ext4'), ('/mnt/vol1', 'nfs4'), ('/mnt', 'ext4'), ('/srv', 'xfs'), ('/srv/data', 'cifs'), ('/mnt/vol2/archive', 'fuse.sshfs')) as t(mount_point, fs_type)")
 
 
 def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +169,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "fingerprint_stats": (lambda s, d: files.fingerprint_stats(inventory(s, d)), f"""select count(*) as total, count_if(zone = 'sensitive') as sensitive_files, count_if(zone = 'normal') as normal_files, count_if(zone = 'archive') as archive_files,
       round(sum(size) / 1048576.0::double, 2) as total_size_mb from {_FP}"""),
     "folder_discovery": (lambda s, d: files.folders(inventory(s, d)), f"""select folder, count(*) as files, regexp_extract(folder, '([^/]*)$', 1) in ({', '.join(map(quote, _CONFIG.skip_dirs))}) as default_excluded from (select regexp_extract(path, '^(.*)/[^/]*$', 1) folder from {_FP}) group by folder"""),
-    "mount_longest_prefix": (lambda s, d: files.mount_of(inventory(s, d), MOUNTS.frame(s)), f"""select path, mount_point, fs_type from {_FP}, {MOUNTS.sql} m where starts_with(path, case mount_point when '/' then '/' else mount_point || '/' end)
-      qualify row_number() over (partition by path order by length(mount_point) desc) = 1"""),
+    "mount_longest_prefix": (lambda s, d: files.mount_of(inventory(s, d), MOUNTS.frame(s, d)), f"""select distinct path, mount_point, fs_type from {_FP} left join {MOUNTS.sql} m on starts_with(path, case mount_point when '/' then '/' else mount_point || '/' end)
+      qualify row_number() over (partition by path order by length(mount_point) desc nulls last) = 1"""),
     "pages_by_extension": (pages_files, """select string_split(u, '/')[1] as host, lower(regexp_extract(regexp_extract(regexp_replace(u, '[?#].*$', ''), '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)) as extension, count(*) as pages
       from (select regexp_replace(url, '^[a-z]+://', '') u from pages) group by all"""),
     "scan_pipeline": (pipeline, _PIPE),

@@ -1,4 +1,4 @@
-"""Governance, directory, application, host, log and report audits over literal and derived tables."""
+"""Governance, directory, application, host, log and report audits over frames derived from the tables."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import metadata as m
 from ..operators.tables import FORBIDDEN
-from ._common import Literal, Query, quote, table
+from ._common import Derived, Query, quote, table
 
-GRANTS = Literal("grantee string, table_name string, privilege_type string", [("audit", "t1", "SELECT"), ("audit", "t2", "SELECT"), ("audit", "t2", "Insert"), ("app", "t1", "SELECT"), ("app", "t1", "UPDATE"), ("PUBLIC", "t1", "SELECT"), ("PUBLIC", "t3", "SELECT"), ("owner", "t1", "DELETE")])
-ROLES = Literal("role string, can_login boolean, is_super boolean", [("audit", True, False), ("app", True, False), ("owner", True, True), ("g1", False, False), ("g2", False, False), ("g3", False, False)])
-TABLES = Literal("table_name string, documented boolean, column_count int, documented_columns int, has_trigger boolean", [("orders", True, 6, 3, True), ("lineitem", False, 11, 0, False), ("audit_log", True, 4, 4, False), ("ml_scores", False, 5, 2, False)])
-COLUMNS = Literal("table_name string, column_name string", [("ml_scores", "score"), ("ml_scores", "run_id"), ("Model_Registry", "name"), ("orders", "o_orderkey"), ("audit_log", "created_at"), ("features", "x")])
-COLLECTIONS = Literal("name string, has_schema boolean, size double", [("users", True, 10.0), ("training_runs", False, 30.0), ("model_data", True, 20.0), ("history", False, 40.0)])
-STORE_USERS = Literal("user string, roles array<string>", [("a", ["read"]), ("b", ["readWrite"]), ("c", ["root"]), ("d", ["read", "dbAdmin"]), ("e", [])])
+GRANTS = Derived("""select case o_custkey % 7 when 0 then 'PUBLIC' when 1 then 'audit' when 2 then 'app' when 3 then 'owner' else concat('role', o_custkey % 40) end as grantee, concat('t', o_orderkey % 50) as table_name,
+  case o_orderkey % 9 when 0 then 'Insert' when 1 then 'UPDATE' when 2 then 'DELETE' when 3 then 'REFERENCES' else 'SELECT' end as privilege_type from orders""")
+ROLES = Derived("select case s_suppkey when 1 then 'audit' when 2 then 'app' when 3 then 'owner' else concat('role', s_suppkey) end as role, s_suppkey % 3 <> 0 as can_login, s_suppkey % 11 = 3 as is_super from supplier")
+TABLES = Derived("select concat('t', p_partkey) as table_name, p_size % 3 = 0 as documented, cast(p_size % 20 + 1 as int) as column_count, cast(floor((p_size % 20 + 1) / 3) as int) as documented_columns, p_partkey % 4 = 0 as has_trigger from part")
+COLUMNS = Derived("""select distinct concat(case l_suppkey % 6 when 0 then 'ml_' when 1 then 'Audit_' when 2 then 'Feature_' when 3 then 'Model' else 'tbl_' end, l_partkey % 100) as table_name,
+  case when l_linenumber = 1 and l_partkey % 3 = 0 then 'run_id' when l_linenumber = 2 and l_partkey % 5 = 0 then 'Updated_At' else concat('c', l_linenumber) end as column_name from lineitem""")
+COLLECTIONS = Derived("select concat(case p_partkey % 9 when 0 then 'training_run' when 1 then 'model_' when 2 then 'history' when 3 then 'ml_experiment' else 'coll' end, p_partkey) as name, p_size % 4 <> 0 as has_schema, cast(p_size as double) as size from part")
+STORE_USERS = Derived("select s_name as user_name, split(case s_suppkey % 6 when 0 then 'root' when 1 then 'read,dbAdmin' when 2 then 'readWrite' when 3 then 'clusterAdmin,read' else 'read' end, ',') as roles from supplier")
 
 
 _G, _R, _T, _C = GRANTS.sql, ROLES.sql, TABLES.sql, COLUMNS.sql
@@ -41,8 +43,10 @@ def _ad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DORMANT = f"(uac & 2 = 0 and datediff('day', last_logon::date, date '{AS_OF}') > 90)"
-LDAP_USERS = Literal("dn string, description string", [("uid=a,ou=People", "Active"), ("uid=B,ou=People", "disabled since May"), ("uid=c,ou=ServiceAccounts,dc=x", "Service account; PWD_NO_EXPIRE"), ("uid=d,ou=People", "DORMANT"), ("uid=e,ou=People", "DISABLED"), ("uid=f,ou=People", None)])
-GROUPS = Literal("cn string, member array<string>", [("Domain Admins", ["uid=a,ou=People", "UID=B,ou=people", "cn=admin,dc=x"]), ("Administrators", ["uid=b,ou=people", "uid=q"]), ("staff", [f"uid=u{i}" for i in range(55)]), ("none", ["cn=admin,dc=x"]), ("Schema_Admins", [])])
+LDAP_USERS = Derived("""select concat(case c_custkey % 3 when 0 then 'UID=U' else 'uid=u' end, c_custkey, case when c_custkey % 9 = 0 then ',ou=ServiceAccounts,dc=x' else ',ou=People' end) as dn,
+  case c_custkey % 8 when 0 then 'disabled since May' when 1 then 'DORMANT' when 2 then 'Service account; PWD_NO_EXPIRE' when 3 then null when 4 then 'Dormant and DISABLED' else 'Active' end as description from customer""")
+GROUPS = Derived("""select case c_nationkey when 0 then 'Domain Admins' when 1 then 'Administrators' when 2 then 'schema_admins' else concat('staff', c_nationkey) end as cn,
+  array_agg(case when c_nationkey = 5 or c_custkey % 10 = 0 then 'cn=admin,dc=x' else concat('uid=U', c_custkey, ',ou=people') end) as member from customer group by c_nationkey""")
 _REAL = f"(select cn, list_filter(member, lambda x: not starts_with(x, 'cn=admin,')) real, member from {GROUPS.sql})"
 _D = "upper(coalesce(description, ''))"
 
@@ -71,16 +75,19 @@ _APP_SQL = " union all ".join(
 _APP_SUMMARY = f"""with e as (select entity, sum(populated_count)::bigint n, max(total_count) total, sum(case when classification = 'iban' then populated_count else 0 end)::bigint iban from ({_APP_SQL}) group by entity)
   select sum(total)::bigint as total_records, sum(n)::bigint as total_pii_values, round(sum(n)::double / sum(total), 4) as density, (select entity from e order by n desc, entity desc limit 1) as highest_risk_entity, sum(iban)::bigint as iban_count, count_if(iban > 0) as bank_data_entities from e"""
 
-DISKS = Literal("rota string, tran string, model string", [("0", "nvme", "X"), ("0", "sata", "Y"), ("1", "sata", "Seagate"), ("1", "sas", "RAID SSD"), (None, "usb", "Fast nvme box"), (None, "usb", None), (None, "usb", "SSD T7")])
-WIN_DISKS = Literal("media string, bus string, model string", [("SSD", "NVMe", "a"), ("4", "SATA", "b"), ("3", "SATA", "c"), ("Unspecified", "NVMe", "d"), ("Unspecified", "USB", "My ssd"), ("0", "USB", "hdd x"), ("0", None, None)])
-LINES = Literal("line string", [("md0 : active raid1 sdb1[1] sda1[0]",), ("md127 : inactive sdc",), ("Personalities : [raid1]",)])
-SPEEDS = Literal("speed string", [("1 Gbps",), ("100 Mbps",), ("2.5 Gbps",), ("fast",), ("10",)])
-SERVICES = Literal("service string", [("VeeamTransport.service",), ("restic-backup.timer",), ("sshd.service",), ("borgmatic",), ("veeamagent",)])
-SECONDS = Literal("seconds int", [(0,), (59,), (60,), (3599,), (3600,), (100_000,)])
-INTERVALS = Literal("interval bigint", [(-36288000000000,), (-1,), (0,), (None,), (864000000000,)])
-RUNS = Literal("connector string, success boolean", [("pg", True), ("pg", False), ("pg", True), ("mysql", True)])
-REPORTS = Literal("source_type string, pii_files int, sensitive int, files_per_second double, pii_tables int", [("files", 150, 2, 3.5, 0), ("files", 5, 0, 0.0, 0), ("database", 0, 0, 0.0, 4), ("database", 500, 9, 1.0, 0)])
-CHECKS = Literal("free_memory bigint, free_disk bigint, last_errors int", [(1 << 30, 1 << 40, 0), (1 << 30, 1 << 40, 3), (1000, 1 << 40, 0), (None, 5, 0), (None, None, 0)])
+DISKS = Derived("""select p_partkey, case p_size % 3 when 0 then '0' when 1 then '1' end as rota, case p_partkey % 5 when 0 then 'nvme' when 1 then 'sata' when 2 then 'sas' when 3 then 'usb' end as tran,
+  case p_partkey % 7 when 0 then concat(p_brand, ' SSD') when 1 then concat(p_brand, ' fast nvme') when 2 then null else p_brand end as model from part""")
+WIN_DISKS = Derived("""select p_partkey, case p_size % 6 when 0 then 'SSD' when 1 then '4' when 2 then '3' when 3 then 'HDD' when 4 then 'Unspecified' end as media, case p_partkey % 4 when 0 then 'NVMe' when 1 then 'SATA' when 2 then 'USB' end as bus,
+  case p_partkey % 7 when 0 then concat(p_brand, ' SSD') when 1 then concat(p_brand, ' nvme') when 2 then concat(p_brand, ' hdd') when 3 then null else p_brand end as model from part""")
+LINES = Derived("select s_suppkey, case s_suppkey % 3 when 0 then concat('md', s_suppkey, ' : active raid', s_suppkey % 7, ' sdb1[1] sda1[0]') when 1 then concat('md', s_suppkey, ' : inactive sdc') else 'Personalities : [raid1]' end as line from supplier")
+SPEEDS = Derived("select s_suppkey, case s_suppkey % 5 when 0 then concat(s_suppkey, ' Gbps') when 1 then concat(s_suppkey, ' Mbps') when 2 then concat(s_suppkey, '.5 Gbps') when 3 then 'fast' else concat('', s_suppkey) end as speed from supplier")
+SERVICES = Derived("select concat(case s_suppkey % 40 when 0 then 'VeeamTransport' when 1 then 'restic-backup' when 2 then 'borgmatic' when 3 then 'BACULA-FD' else 'sshd' end, s_suppkey, '.service') as service from supplier")
+SECONDS = Derived("select o_orderkey, cast(o_orderkey * 37 % 100000 as int) as seconds from orders")
+INTERVALS = Derived("select o_orderkey, case o_orderkey % 5 when 0 then null when 1 then 0 when 2 then 864000000000 when 3 then -1 else -(o_orderkey % 400) * 100000000000 end as passed from orders")
+RUNS = Derived("select case o_custkey % 4 when 0 then 'postgresql' when 1 then 'mysql' when 2 then 'files' else 'ldap' end as connector, o_orderstatus <> 'P' as success from orders")
+REPORTS = Derived("""select o_orderkey, case o_orderkey % 2 when 0 then 'files' else 'database' end as source_type, cast(o_custkey % 300 as int) as pii_files, cast(o_custkey % 4 as int) as sensitive, cast(o_orderkey % 30 as double) as files_per_second,
+  cast(o_custkey % 3 as int) as pii_tables from orders""")
+CHECKS = Derived("""select s_suppkey, case when s_suppkey % 7 = 0 then null else s_suppkey * 100000000 end as free_memory, case when s_suppkey % 11 = 0 then null else s_suppkey * 200000000 end as free_disk, cast(s_suppkey % 3 as int) as last_errors from supplier""")
 
 #: Log lines made of events: some begin a scan, some end it, some count files or fail.
 LOG_LINES = """select user_id % 5 as log_id, event_id as line_no, concat('2024-01-0', cast(1 + event_id % 9 as varchar(20)), ' 10:', lpad(cast(event_id % 60 as varchar(20)), 2, '0'), ':00,123 - INFO - ',
@@ -98,56 +105,64 @@ _SESSIONS = f"""(with l as (select log_id, line_no, contains(line, 'Scan started
   select *, case when ended is not null then 'completed' when scan = max(scan) over (partition by log_id) then 'in_progress' else 'interrupted' end as status, (epoch(ended) - epoch(started))::double as seconds,
     case when epoch(ended) - epoch(started) > 0 and files > 0 then round(files / (epoch(ended) - epoch(started)), 2) end as files_per_second from g)"""
 _AGENT_VALUES = ", ".join(f"('{p}', '{n}')" for p, n in m.AGENTS)
-CONFIGS = Literal("k string, v string", [("host", "db1"), ("Password", "x"), ("api_key", "k"), ("port", "5432"), ("SSL_key", "z")])
+CONFIGS = Derived("""select s_suppkey, case s_suppkey % 8 when 0 then 'host' when 1 then 'Password' when 2 then 'api_key' when 3 then 'port' when 4 then 'SSL_key' when 5 then 'client_secret' when 6 then 'tokens' else 'TOKEN' end as k, s_name as v from supplier""")
+
+#: Grants of shared items: by type, what an item must be to have one, who is granted it, and the role (null: read).
+_GRANTS = (("user", "s_suppkey % 2 = 0", "concat(lower(s_name), '@x.org')", "'write'"), ("link", "s_suppkey % 3 = 0", "case when s_suppkey % 2 = 0 then 'anonymous' else 'organization' end", "'read'"), ("group", "s_suppkey % 5 = 0", "concat('staff', s_nationkey)", "'owner'"), ("application", "s_suppkey % 7 = 0", "'Sync'", "null"))
 
 
 def _share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, [(["write"], "ann@x.org", None, None, None), (["read"], None, None, "anonymous", None)]), (2, [([], None, "staff", None, None)]), (3, []), (4, [(None, None, None, None, "Sync")])]
-    return m.share_grants(spark.createDataFrame(rows, "item_id int, permissions array<struct<roles:array<string>,user:string,group_name:string,link_scope:string,app:string>>"))
+    fields = {"user": "user", "group": "group_name", "link": "link_scope", "application": "app"}
+    each = []
+    for kind, when, who, role in _GRANTS:
+        values = ", ".join(f"'{f}', " + (who if k == kind else "cast(null as string)") for k, f in fields.items())
+        each.append(f"case when {when} then named_struct('roles', {'array()' if role == 'null' else f'array({role})'}, {values}) end")
+    items = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as item_id", f"array_compact(array({', '.join(each)})) as permissions")
+    return m.share_grants(items)
 
 
-_SHARE = "select * from (values (1, 'user', 'ann@x.org', 'write'), (1, 'link', 'link:anonymous', 'read'), (2, 'group', 'staff', 'read'), (4, 'application', 'Sync', 'read')) t(item_id, grant_type, grantee, role)"
+_SHARE = " union all ".join(f"select s_suppkey as item_id, '{kind}' as grant_type, {chr(39) + 'link:' + chr(39) + ' || ' if kind == 'link' else ''}{who} as grantee, coalesce({role}, 'read') as role from supplier where {when}" for kind, when, who, role in _GRANTS)
 
 
-def _each(literal: Literal, **columns) -> Query:
-    return lambda s, d: literal.frame(s).withColumns({k: f(*[F.col(c) for c, _ in literal.columns]) for k, f in columns.items()})
+def _each(rows: Derived, names: str, **columns) -> Query:
+    return lambda s, d: rows.frame(s, d).withColumns({k: f(*[F.col(c) for c in names.split()]) for k, f in columns.items()})
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
-    "governance_documentation": (lambda s, d: m.documentation_coverage(TABLES.frame(s)), f"select round(0.4 * count_if(documented) / count(*) + 0.6 * sum(documented_columns) / sum(column_count), 4) as documentation_coverage from {_T}"),
-    "governance_security": (lambda s, d: m.security_compliance(GRANTS.frame(s), ROLES.frame(s), "audit", True, False), f"""select round(0.2::double + (case when (select bool_or(is_super) from {_R} where role = 'audit') then 0 else 0.25 end) + (case when k <= 1 then 0.2 when k <= 3 then 0.1 else 0 end)
+    "governance_documentation": (lambda s, d: m.documentation_coverage(TABLES.frame(s, d)), f"select round(0.4 * count_if(documented) / count(*) + 0.6 * sum(documented_columns) / sum(column_count), 4) as documentation_coverage from {_T}"),
+    "governance_security": (lambda s, d: m.security_compliance(GRANTS.frame(s, d), ROLES.frame(s, d), "audit", True, False), f"""select round(0.2::double + (case when (select bool_or(is_super) from {_R} where role = 'audit') then 0 else 0.25 end) + (case when k <= 1 then 0.2 when k <= 3 then 0.1 else 0 end)
       + (case when p <= 5 then 0.1 else 0 end) + (case when (select count_if(can_login) from {_R}) >= 3 then 0.1 else 0 end), 4) as security_compliance from (select count(distinct case when grantee = 'audit' then privilege_type end) k, count_if(grantee = 'PUBLIC') p from {_G})"""),
-    "governance_access": (lambda s, d: m.access_control(GRANTS.frame(s), ROLES.frame(s)), f"""select round((case when (select count_if(not can_login) from {_R}) >= 3 then 0.2::double else 0 end) + (case when p = 0 then 0.25 when p <= 5 then 0.1 else 0 end) + (case when k >= 2 then 0.25 else 0 end)
+    "governance_access": (lambda s, d: m.access_control(GRANTS.frame(s, d), ROLES.frame(s, d)), f"""select round((case when (select count_if(not can_login) from {_R}) >= 3 then 0.2::double else 0 end) + (case when p = 0 then 0.25 when p <= 5 then 0.1 else 0 end) + (case when k >= 2 then 0.25 else 0 end)
       + (case when (select avg(n) from (select count(*) n from {_G} where grantee <> 'PUBLIC' group by grantee)) <= 100 then 0.2 else 0 end) + (case when t > 0 then 0.1 else 0 end), 4) as access_control from (select count_if(grantee = 'PUBLIC') p, count(distinct case when grantee <> 'PUBLIC' then privilege_type end) k, count(distinct table_name) t from {_G})"""),
-    "governance_tracking": (lambda s, d: m.change_tracking(TABLES.frame(s)), f"select round(count_if(has_trigger) / count(*), 4) as change_tracking from {_T}"),
-    "governance_models": (lambda s, d: m.model_documentation(COLUMNS.frame(s)), _ART11),
-    "governance_document_store": (lambda s, d: m.document_store(COLLECTIONS.frame(s), STORE_USERS.frame(s), True), _STORE),
-    "permissions_check": (lambda s, d: m.forbidden_permissions(GRANTS.frame(s), "audit", FORBIDDEN), f"select coalesce(string_agg(distinct upper(privilege_type), ',' order by upper(privilege_type)), '') as forbidden, case when count(*) > 0 then 'warning' else 'ok' end as status from {_G} where grantee = 'audit' and upper(privilege_type) in ({', '.join(map(quote, FORBIDDEN))})"),
+    "governance_tracking": (lambda s, d: m.change_tracking(TABLES.frame(s, d)), f"select round(count_if(has_trigger) / count(*), 4) as change_tracking from {_T}"),
+    "governance_models": (lambda s, d: m.model_documentation(COLUMNS.frame(s, d)), _ART11),
+    "governance_document_store": (lambda s, d: m.document_store(COLLECTIONS.frame(s, d), STORE_USERS.frame(s, d), True), _STORE),
+    "permissions_check": (lambda s, d: m.forbidden_permissions(GRANTS.frame(s, d), "audit", FORBIDDEN), f"select coalesce(string_agg(distinct upper(privilege_type), ',' order by upper(privilege_type)), '') as forbidden, case when count(*) > 0 then 'warning' else 'ok' end as status from {_G} where grantee = 'audit' and upper(privilege_type) in ({', '.join(map(quote, FORBIDDEN))})"),
     "dir_users_ad": (lambda s, d: m.users_ad(_ad(s, d), AS_OF), f"""select count(*) as total, greatest(0, count(*) - count_if(uac & 2 <> 0) - count_if(coalesce({_DORMANT}, false))) as active, count_if(coalesce({_DORMANT}, false)) as dormant_90d, count_if(has_spn) as service_accounts,
       count_if(uac & 65536 <> 0) as pwd_no_expire, count_if(uac & 2 <> 0 and in_groups) as disabled_in_groups from ({AD_USERS})"""),
-    "dir_users_ldap": (lambda s, d: m.users_ldap(LDAP_USERS.frame(s), GROUPS.frame(s)), f"""select count(*) as total, greatest(0, count(*) - count_if(contains({_D}, 'DISABLED')) - count_if(contains({_D}, 'DORMANT'))) as active, count_if(contains({_D}, 'DORMANT')) as dormant_90d, count_if(contains(lower(dn), 'ou=serviceaccounts')) as service_accounts,
+    "dir_users_ldap": (lambda s, d: m.users_ldap(LDAP_USERS.frame(s, d), GROUPS.frame(s, d)), f"""select count(*) as total, greatest(0, count(*) - count_if(contains({_D}, 'DISABLED')) - count_if(contains({_D}, 'DORMANT'))) as active, count_if(contains({_D}, 'DORMANT')) as dormant_90d, count_if(contains(lower(dn), 'ou=serviceaccounts')) as service_accounts,
       count_if(contains({_D}, 'SERVICE ACCOUNT') or contains({_D}, 'PWD_NO_EXPIRE')) as pwd_no_expire, count_if(contains({_D}, 'DISABLED') and lower(dn) in (select lower(x) from (select unnest(member) x from {GROUPS.sql}))) as disabled_in_groups from {LDAP_USERS.sql}"""),
-    "dir_groups": (lambda s, d: m.groups_summary(GROUPS.frame(s)), f"select count(*) as total, count_if(len(real) = 0) as empty_groups, count_if(len(real) >= 50) as large_groups_50plus from {_REAL}"),
-    "dir_admins": (lambda s, d: m.admins(GROUPS.frame(s), LDAP_USERS.frame(s).agg(F.count("*").alias("n"))), f"""select total_admins, round(total_admins::double / (select count(*) from {LDAP_USERS.sql}), 4) as admin_ratio from (select count(distinct lower(x)) total_admins from (
+    "dir_groups": (lambda s, d: m.groups_summary(GROUPS.frame(s, d)), f"select count(*) as total, count_if(len(real) = 0) as empty_groups, count_if(len(real) >= 50) as large_groups_50plus from {_REAL}"),
+    "dir_admins": (lambda s, d: m.admins(GROUPS.frame(s, d), LDAP_USERS.frame(s, d).agg(F.count("*").alias("n"))), f"""select total_admins, round(total_admins::double / (select count(*) from {LDAP_USERS.sql}), 4) as admin_ratio from (select count(distinct lower(x)) total_admins from (
       select unnest(real) x from {_REAL} where lower(cn) in ({', '.join(map(quote, m.ADMIN_GROUPS))})))"""),
-    "dir_password_age": (_each(INTERVALS, days=m.filetime_days), f"select *, case when interval < 0 then nullif(-interval // 864000000000, 0) end as days from {INTERVALS.sql}"),
+    "dir_password_age": (_each(INTERVALS, "passed", days=m.filetime_days), f"select *, case when passed < 0 then nullif(-passed // 864000000000, 0) end as days from {INTERVALS.sql}"),
     "app_entity_pii": (app_fields, _APP_SQL),
     "app_summary": (lambda s, d: m.app_summary(app_fields(s, d)), _APP_SUMMARY),
-    "infra_disk_class": (_each(DISKS, kind=m.disk_linux), f"""select *, case when tran = 'nvme' then 'NVMe' when rota = '0' then 'SSD' when rota = '1' and regexp_matches(lower(model), 'ssd|nvme') then 'SSD' when rota = '1' then 'HDD' when contains(lower(model), 'ssd') then 'SSD' when contains(lower(model), 'nvme') then 'NVMe' else 'Unknown' end as kind from {DISKS.sql}"""),
-    "infra_disk_windows": (_each(WIN_DISKS, kind=m.disk_windows), f"""select *, case when media in ('4', 'SSD') then case when contains(bus, 'NVMe') then 'NVMe' else 'SSD' end when media in ('3', 'HDD') then 'HDD' when contains(bus, 'NVMe') then 'NVMe' when contains(lower(model), 'ssd') then 'SSD'
+    "infra_disk_class": (_each(DISKS, "rota tran model", kind=m.disk_linux), f"""select *, case when tran = 'nvme' then 'NVMe' when rota = '0' then 'SSD' when rota = '1' and regexp_matches(lower(model), 'ssd|nvme') then 'SSD' when rota = '1' then 'HDD' when contains(lower(model), 'ssd') then 'SSD' when contains(lower(model), 'nvme') then 'NVMe' else 'Unknown' end as kind from {DISKS.sql}"""),
+    "infra_disk_windows": (_each(WIN_DISKS, "media bus model", kind=m.disk_windows), f"""select *, case when media in ('4', 'SSD') then case when contains(bus, 'NVMe') then 'NVMe' else 'SSD' end when media in ('3', 'HDD') then 'HDD' when contains(bus, 'NVMe') then 'NVMe' when contains(lower(model), 'ssd') then 'SSD'
       when contains(lower(model), 'nvme') then 'NVMe' when contains(lower(model), 'hdd') then 'HDD' else 'Unknown' end as kind from {WIN_DISKS.sql}"""),
-    "infra_raid_level": (_each(LINES, level=m.raid_level), f"select *, regexp_extract(line, '^md[^:]*:.*?\\b(raid\\S*)', 1) as level from {LINES.sql}"),
-    "link_speed": (_each(SPEEDS, mbps=m.link_mbps), f"""select *, (case when contains(speed, ' Gbps') then split_part(speed, ' ', 1)::double * 1000 when contains(speed, ' Mbps') then split_part(speed, ' ', 1)::double end)::int as mbps from {SPEEDS.sql}"""),
-    "backup_agents": (lambda s, d: m.backup_agents(SERVICES.frame(s)), f"select distinct n as agent from {SERVICES.sql}, (values {_AGENT_VALUES}) a(p, n) where contains(lower(service), p)"),
-    "eta_format": (_each(SECONDS, eta=m.eta), f"select *, case when seconds < 60 then seconds || 's' when seconds < 3600 then (seconds // 60) || 'm ' || (seconds % 60) || 's' else (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm' end as eta from {SECONDS.sql}"),
-    "config_redaction": (lambda s, d: CONFIGS.frame(s).select("k", m.redact(F.create_map("k", "v"))[F.col("k")].alias("v")), f"select k, case when lower(k) in ({', '.join(map(quote, m.SECRET_KEYS))}) then '***REDACTED***' else v end as v from {CONFIGS.sql}"),
+    "infra_raid_level": (_each(LINES, "line", level=m.raid_level), f"select *, regexp_extract(line, '^md[^:]*:.*?\\b(raid\\S*)', 1) as level from {LINES.sql}"),
+    "link_speed": (_each(SPEEDS, "speed", mbps=m.link_mbps), f"""select *, (case when contains(speed, ' Gbps') then split_part(speed, ' ', 1)::double * 1000 when contains(speed, ' Mbps') then split_part(speed, ' ', 1)::double end)::int as mbps from {SPEEDS.sql}"""),
+    "backup_agents": (lambda s, d: m.backup_agents(SERVICES.frame(s, d)), f"select distinct n as agent from {SERVICES.sql}, (values {_AGENT_VALUES}) a(p, n) where contains(lower(service), p)"),
+    "eta_format": (_each(SECONDS, "seconds", eta=m.eta), f"select *, case when seconds < 60 then seconds || 's' when seconds < 3600 then (seconds // 60) || 'm ' || (seconds % 60) || 's' else (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm' end as eta from {SECONDS.sql}"),
+    "config_redaction": (lambda s, d: CONFIGS.frame(s, d).select("s_suppkey", "k", m.redact(F.create_map("k", "v"))[F.col("k")].alias("v")), f"select s_suppkey, k, case when lower(k) in ({', '.join(map(quote, m.SECRET_KEYS))}) then '***REDACTED***' else v end as v from {CONFIGS.sql}"),
     "cloud_grants": (_share, _SHARE),
     "log_sessions": (lambda s, d: m.log_sessions(_log(s, d)), f"select * from {_SESSIONS}"),
     "log_summary": (lambda s, d: m.log_summary(m.log_sessions(_log(s, d))), f"""select count(*) as total_scans, count_if(status = 'completed') as completed_scans, sum(files)::bigint as total_files, round(coalesce(sum(case when status = 'completed' then seconds end), 0), 2) as total_seconds,
       case when sum(case when status = 'completed' then seconds end) > 0 then round(sum(files) / sum(case when status = 'completed' then seconds end), 2) else 0.0 end as files_per_second from {_SESSIONS}"""),
     "log_last_errors": (lambda s, d: m.last_errors(_log(s, d)), f"select log_id, line_no, {_STAMP} as stamp, 'disk is full' as message from ({LOG_LINES}) where contains(line, 'ERROR') qualify row_number() over (partition by log_id order by line_no desc) <= 50"),
-    "alerts": (lambda s, d: m.alerts(REPORTS.frame(s)), f"""select *, array_to_string(list_filter([case when source_type = 'files' and pii_files >= 100 then 'HIGH_PII_RISK' end, case when source_type = 'files' and sensitive > 0 then 'SENSITIVE_PII' end,
+    "alerts": (lambda s, d: m.alerts(REPORTS.frame(s, d)), f"""select *, array_to_string(list_filter([case when source_type = 'files' and pii_files >= 100 then 'HIGH_PII_RISK' end, case when source_type = 'files' and sensitive > 0 then 'SENSITIVE_PII' end,
       case when source_type = 'files' and files_per_second > 0 and files_per_second < 10 then 'LOW_PERFORMANCE' end, case when source_type = 'database' and pii_tables > 0 then 'DB_PII_DETECTED' end], lambda x: x is not null), ',') as alerts from {REPORTS.sql}"""),
-    "health": (lambda s, d: m.health(CHECKS.frame(s)), f"select *, case when free_memory <= 536870912 or free_disk <= 1073741824 then 'unhealthy' when last_errors > 0 then 'degraded' else 'healthy' end as status from {CHECKS.sql}"),
-    "connector_health": (lambda s, d: m.connector_health(RUNS.frame(s)), f"select connector, count(*) as runs, round(100 * avg(success::int), 1) as healthy_pct from {RUNS.sql} group by connector"),
+    "health": (lambda s, d: m.health(CHECKS.frame(s, d)), f"select *, case when free_memory <= 536870912 or free_disk <= 1073741824 then 'unhealthy' when last_errors > 0 then 'degraded' else 'healthy' end as status from {CHECKS.sql}"),
+    "connector_health": (lambda s, d: m.connector_health(RUNS.frame(s, d)), f"select connector, count(*) as runs, round(100 * avg(success::int), 1) as healthy_pct from {RUNS.sql} group by connector"),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,18 +51,61 @@ def live_sessions(lines: DataFrame) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scan, n = state.get if state.exists else (0, -1)
+        rows = pd.concat(list(batches)).sort_values("line_no")
+        begins = np.flatnonzero(rows["line"].str.contains("Scan started", regex=False).to_numpy(bool))
+        ends = np.flatnonzero(rows["line"].str.contains("Scan completed", regex=False).to_numpy(bool))
         out = []
-        for row in pd.concat(list(batches)).sort_values("line_no").itertuples():
-            if "Scan started" in row.line:
+        # one step for each scan: its lines lie between two starts
+        for k, (a, b) in enumerate(zip([0, *(begins + 1)], [*begins, len(rows)])):
+            if k:
                 if n >= 0:
                     out.append((key[0], scan, n, False))
                 scan, n = scan + 1, 0
-            elif n >= 0:
-                n += 1
-                if "Scan completed" in row.line:
-                    out.append((key[0], scan, n, True))
+            if n >= 0:
+                e = ends[np.searchsorted(ends, a) :][:1]
+                if len(e) and e[0] < b:
+                    out.append((key[0], scan, n + int(e[0]) - a + 1, True))
                     n = -1
+                else:
+                    n += b - a
+        scan, n = int(scan), int(n)
         state.update((scan, n))
         yield pd.DataFrame(out, columns=["log_id", "scan", "lines", "ended"])
 
     return lines.groupBy("log_id").applyInPandasWithState(fold, SESSION, "scan bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(query) -> dict:
+    """What a running stream has done: batch, rows in all, rows a second, and whether it is at rest."""
+    last = query.lastProgress or {}
+    total = sum(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows for p in query.recentProgress)
+    return {"batch": last.get("batchId"), "rows": total, "rows_per_second": last.get("processedRowsPerSecond"), "active": query.isActive, "waiting": not (query.status or {}).get("isTriggerActive", False)}
+
+
+def reaudit_files(stream: DataFrame, snapshots: str, source_id: str, out: str, checkpoint: str, tolerance: float = 1.0) -> None:
+    """Inventories that arrive are compared with the last snapshot of their source: changes are appended to ``out``, and each batch becomes the next snapshot.
+
+    A batch that is repeated after a failure is compared with the snapshot before it and replaces its own.
+    """
+    from ..operators import files
+    from ..sources import records
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        now = files.fingerprint(rows)
+        try:
+            seen = spark.read.option("inferSchema", "false").parquet(snapshots).where((F.col("source_id") == source_id) & (F.col("taken").cast("int") < number))
+            last = seen.agg(F.max(F.col("taken").cast("int"))).first()[0]
+        except Exception as x:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(x):
+                raise
+            last = None
+        if last is None:
+            changes = now.select("path_hash", F.lit("new").alias("status"))
+        else:
+            old = seen.where(F.col("taken").cast("int") == last).select("path_hash", "size", "mtime", "previous_pii")
+            changes = files.snapshot_diff(now, old, tolerance).select("path_hash", "status")
+        changes.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        records.save_snapshot(now.select("path_hash", "size", "mtime", F.lit(None).cast("boolean").alias("previous_pii")), snapshots, source_id, f"{number:08d}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
