@@ -14,28 +14,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import mixing, ngram_join, packing, substring_dedup, toxicity
-from riskweave.llm._spark import checkpoint, read, ship
+from riskweave.llm._spark import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, fitted on the folder's ``labels``, doesn't reject.
+
+    Null and empty texts are scored by the intercepts and so are kept or rejected
+    alike; rows that repeat are judged alike; without labels all stay.
+    """
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    """One document of each class of near duplicates, that of the least doc_id (null counts as the last); all rows without words stay."""
     return ngram_join.deduplicate(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    """All rows, without the passages of 50 words or more that are in an earlier place (by doc_id, null last) too; n_chars follows."""
     return substring_dedup.remove(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each epoch that takes a document, at the end of a leaf's prefix with its first tokens only; rows without tokens are never taken."""
     return mixing.apply(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces with their texts; a document that was taken more than once is in no bin twice; rows without tokens give none."""
     return packing.pack(docs, with_text=True)
 
 
@@ -50,9 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = checkpoint(docs)
+    """All stages over ``documents`` of a folder; each one's rows are written to the shared folder, and what the one before wrote goes when the next is written."""
+    docs, drop = read(spark, sf_dir, "documents"), lambda: None
+    for _, stage in STAGES:
+        docs, gone = stored(stage(spark, docs, sf_dir), "pipeline")
+        drop()
+        drop = gone
     return docs

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +32,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder that all executors share and cuts the lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    that names none gets a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session's ``spark.checkpoint.dir`` names it. Only a local session that names none gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,9 +42,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir names no shared folder")
             where = tempfile.mkdtemp(prefix="riskweave-checkpoint-")
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes the rows to the folder that all executors share and cuts the lineage; the files go when nothing refers to the rows, where the session cleans its checkpoints."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows as a Parquet table in the shared folder, and what deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, for the number of fragments."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

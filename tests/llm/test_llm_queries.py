@@ -64,6 +64,28 @@ def test_pipeline_stages(spark):
     d = four(spark, c, SF).cache()
     assert d.columns == docs.columns and d.count() > 0
     e = five(spark, d, SF)
-    assert e.count() > 0 and e.groupBy("shard", "class", "bin").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count() == 0
+    assert e.count() > 0 and e.groupBy("shard", "class", "round", "bin").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count() == 0
     n = lambda x: x.agg(F.sum(F.regexp_count("text", F.lit("[^ \\t\\r\\n]+")))).first()[0]
     assert n(d) == n(e)
+
+
+def test_pipeline_runs(spark):
+    """``run`` gives what its stages give one after the other, also on awkward rows and an empty table."""
+    whole = corpus_pipeline.run(spark, SF)
+    docs = read(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+    cols = [c for c in docs.columns if c != "text"]
+    assert sorted(map(str, whole.select(*cols).collect())) == sorted(map(str, docs.select(*cols).collect()))
+
+
+def test_stages_on_awkward_and_empty_tables(spark):
+    data = [(1, "a b c " * 30, "en", "src0", 1), (1, "a b c " * 30, "en", "src0", 1), (None, None, None, None, None), (None, "x y z", None, "src99", 5), (3, "", "fr", "src1", 0), (4, " ".join(f"w{i}" for i in range(5000)), "de", "src0", 9)]
+    awkward = spark.createDataFrame([(*r, "clash", 7) for r in data], "doc_id bigint, text string, lang string, source string, n_chars bigint, _text string, _sig int")
+    for docs in (awkward, awkward.limit(0)):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, SF).cache()
+            assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+        rest = docs.count()
+    assert rest == 0
