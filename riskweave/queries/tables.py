@@ -89,7 +89,7 @@ def schema_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CREATED, _UPDATED, _DELETED = "('created_at', 'created_date', 'creation_date', 'date_created', 'insert_timestamp')", "('date_modified', 'modification_date', 'update_timestamp', 'updated_at', 'updated_date')", "('date_deleted', 'deleted_at', 'deleted_date')"
 _IDS = Derived("select case s_suppkey % 3 when 0 then 'postgresql' when 1 then 'mysql' else 'mongodb' end as db_type, concat('db', s_nationkey) as host, s_name as database_name from supplier")
-VIEWS = Derived("""select concat('v', p_partkey) as view_name, concat(case p_size % 4 when 0 then 'SELECT a FROM "sales"."orders' when 1 then 'select * from lineitem' when 2 then 'select 1 -- ' else 'SELECT x FROM hr.staff' end, p_partkey % 20,
+VIEWS = Derived("""select concat('v', p_partkey) as view_name, concat(case p_size % 4 when 0 then 'SELECT a FROM "sales"."orders' when 1 then 'select * from lines' when 2 then 'select 1 -- ' else 'SELECT x FROM hr.staff' end, p_partkey % 20,
   case p_size % 4 when 0 then '" o JOIN clients c ON 1=1' when 3 then ' UNION SELECT y FROM hr.staff1' else '' end) as definition from part""")
 STATEMENTS = Derived("""select p_partkey, concat(case p_partkey % 9 when 0 then 'SELECT ' when 1 then '  select created_at, ' when 2 then 'DELETE FROM t where x = ' when 3 then 'select 1; drop table t' when 4 then 'SHOW TABLES ' when 5 then 'WITH x AS (SELECT 1) SELECT ' when 6 then 'SELECT updates, grants, '
   when 7 then 'select ''GRANT'' as x, ' else 'update t set a = 1; delete from t' end, p_size) as query from part""")
