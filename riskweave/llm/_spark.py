@@ -13,8 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to a Python worker, where the session has the default of 10,000; texts are a hundred times as long as usual rows.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a session, so that they need no copy of their own."""
+    """Sends this package to the Python workers, once a session, so that they need no copy of their own; and keeps the batches that they get small."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_riskweave_shipped", False):
         return

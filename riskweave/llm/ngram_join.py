@@ -61,11 +61,11 @@ N = 3
 #: The threshold as a fraction.
 THRESHOLD = (1, 2)
 #: Text bytes whose grams make a fragment of the first step, and grams in one of the later steps.
-FRAGMENT_BYTES = 32 << 20
-FRAGMENT_GRAMS = 6_000_000
+FRAGMENT_BYTES = 16 << 20
+FRAGMENT_GRAMS = 3_000_000
 #: Pairs that a task of the second step may go through, pairs and grams in a cell of the last step, sets of a hot cell, and parts of the order there.
 TASK_PAIRS = 200_000_000
-CELL_PAIRS, CELL_GRAMS, CELL_SETS, PARTS = 200_000, 4_000_000, 10_000, 2
+CELL_PAIRS, CELL_GRAMS, CELL_SETS, PARTS = 200_000, 2_000_000, 10_000, 2
 _U = np.uint64
 _BANDS = 64
 _SURVIVORS = "sig binary, size binary, count binary, prefix binary, key binary, band binary, hist array<bigint>, work array<bigint>"

@@ -22,7 +22,8 @@ piece that repeats is tokenised once.
 Defined cases: an empty text gives one block without tokens; a null text gives
 one block whose n_tokens, payload and checksum are null; a row whose doc_id is
 null keeps it; rows that repeat give equal blocks; an empty table gives the row
-of an empty table only; extra columns are ignored.
+of an empty table only; a vocabulary that isn't there is an error before any row
+is read; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -84,7 +84,7 @@ class Linear:
         place = np.full(len(own), -1, np.int32)
         place[chosen] = np.arange(len(chosen), dtype=np.int32)
         use = place[index] >= 0
-        r, c = rows[use], place[index][use]
+        r, c = rows[use].astype(np.int64), place[index[use]].astype(np.int64)  # as bincount takes them, not cast in each step
         m = len(chosen)
         dot = lambda v: np.bincount(r, weights=v[c], minlength=n) + earlier @ v[m : m + k] + v[-1]
         back = lambda g: np.concatenate([np.bincount(c, weights=g[r], minlength=m), earlier.T @ g, [g.sum()]])

@@ -184,6 +184,20 @@ def disk_windows(media: Column, bus: Column, model: Column) -> Column:
     return F.when(media.isin("4", "SSD"), F.when(nvme, "NVMe").otherwise("SSD")).when(media.isin("3", "HDD"), "HDD").when(nvme, "NVMe").otherwise(by_name)
 
 
+def disk_mac(protocol: Column, bus: Column, solid: Column, model: Column) -> Column:
+    """By the connection, then by what the disk says of itself (a name may overrule a no), then by the name."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    has = lambda c, word: F.contains(low(c), F.lit(word))
+    named = F.when(has(model, "ssd"), "SSD")
+    return (
+        F.when(has(protocol, "nvme") | has(F.coalesce(bus, protocol), "nvme"), "NVMe")
+        .when(solid, "SSD")
+        .when(~solid, F.coalesce(named, F.lit("HDD")))
+        .when(has(model, "apple ssd") | has(protocol, "apple fabric"), "NVMe")
+        .otherwise(F.coalesce(named, F.lit("Unknown")))
+    )
+
+
 def raid_level(mdstat_line: Column) -> Column:
     return F.regexp_extract(mdstat_line, r"^md[^:]*:.*?\b(raid\S*)", 1)
 

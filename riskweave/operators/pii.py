@@ -76,12 +76,13 @@ def spread(rows: DataFrame) -> DataFrame:
 def raw_matches(docs: DataFrame, key: str, text: str, mode: str = "line", patterns: list[str] | None = None) -> DataFrame:
     """Each valid match: key, line, type_ord, type, pos, value, norm."""
     rows = spread(docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null"))
+    # the outer forms keep the optimiser from adding a filter that searches every text once more
     if mode == "line":
-        rows = rows.select(key, F.posexplode(F.split("_text", "\n")).alias("line", "_text")).where("_text != ''")
+        rows = rows.select(key, F.posexplode_outer(F.split("_text", "\n")).alias("line", "_text")).where("_text != ''")
     else:
         rows = rows.withColumn("line", F.lit(0))
     use = [(i, p) for i, p in enumerate(PATTERNS) if patterns is None or p.name in patterns]
-    rows = rows.select(key, "line", F.explode(_hits(F.col("_text"), use, mode)).alias("m")).select(key, "line", "m.*")
+    rows = rows.select(key, "line", F.explode_outer(_hits(F.col("_text"), use, mode)).alias("m")).where("m is not null").select(key, "line", "m.*")
     rows = rows.where(_valid(F.col("type_ord"), F.col("value")))
     return rows.select(key, "line", "type_ord", _names(F.col("type_ord")).alias("type"), "pos", "value", normalise(F.col("value")).alias("norm"))
 
@@ -115,12 +116,17 @@ def previews(found: DataFrame, key: str, most: int = PREVIEWS) -> DataFrame:
 
 
 def cell_type(value: Column) -> Column:
-    """Mode cell: the family of one cell, or null."""
-    branches = []
-    for p in PATTERNS:
-        hit = _gate(p.gate, value) & value.rlike(p.regex)
-        branches.append((hit & VALIDATORS[p.validator](value) if p.validator else hit, p.name))
-    return reduce(lambda rest, b: F.when(b[0], F.lit(b[1])).otherwise(rest), reversed(branches), F.lit(None).cast("string"))
+    """Mode cell: the family of one cell, or null; of several the earliest. Each gate is tried once, and its families only where it holds."""
+    parts = []
+    for gate in GATES:
+        own = []
+        for i, p in enumerate(PATTERNS):
+            if p.gate == gate:
+                hit = value.rlike(p.regex)
+                own.append(F.when(hit & VALIDATORS[p.validator](value) if p.validator else hit, F.lit(i)))
+        if own:
+            parts.append(F.when(_gate(gate, value), F.least(*own) if len(own) > 1 else own[0]))
+    return _names(F.least(*parts))
 
 
 def cells(table: DataFrame, columns: list[str]) -> DataFrame:

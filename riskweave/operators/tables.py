@@ -29,6 +29,14 @@ def duplicates(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """One row: row_count, column_count, null_cells, completeness, and duplicate_rows over all columns."""
+    nulls = reduce(lambda a, b: a + b, [F.count_if(df[c].isNull()) for c in df.columns])
+    cells = df.agg(F.count("*").alias("row_count"), nulls.alias("null_cells"))
+    share = F.coalesce(100.0 * F.col("null_cells") / F.nullif(F.col("row_count") * len(df.columns), F.lit(0)), F.lit(0.0))
+    return cells.crossJoin(duplicates(df).select("duplicate_rows")).select("row_count", F.lit(len(df.columns)).alias("column_count"), "null_cells", F.round(100 - share, 2).alias("completeness"), "duplicate_rows")
+
+
 def candidate_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return duplicates(df, keys).select((F.col("duplicate_rows") == 0).alias("is_key"))
 

@@ -79,6 +79,8 @@ DISKS = Derived("""select p_partkey, case p_size % 3 when 0 then '0' when 1 then
   case p_partkey % 7 when 0 then concat(p_brand, ' SSD') when 1 then concat(p_brand, ' fast nvme') when 2 then null else p_brand end as model from part""")
 WIN_DISKS = Derived("""select p_partkey, case p_size % 6 when 0 then 'SSD' when 1 then '4' when 2 then '3' when 3 then 'HDD' when 4 then 'Unspecified' end as media, case p_partkey % 4 when 0 then 'NVMe' when 1 then 'SATA' when 2 then 'USB' end as bus,
   case p_partkey % 7 when 0 then concat(p_brand, ' SSD') when 1 then concat(p_brand, ' nvme') when 2 then concat(p_brand, ' hdd') when 3 then null else p_brand end as model from part""")
+MAC_DISKS = Derived("""select p_partkey, case p_size % 4 when 0 then 'PCI-Express' when 1 then 'NVMe' when 2 then 'Apple Fabric' end as protocol, case p_partkey % 3 when 0 then 'USB' when 1 then 'nvme link' end as bus, case p_partkey % 5 when 0 then true when 1 then false end as solid,
+  case p_partkey % 7 when 0 then concat(p_brand, ' SSD') when 1 then 'APPLE SSD AP0512' when 2 then null else p_brand end as model from part""")
 LINES = Derived("select s_suppkey, case s_suppkey % 3 when 0 then concat('md', s_suppkey, ' : active raid', s_suppkey % 7, ' sdb1[1] sda1[0]') when 1 then concat('md', s_suppkey, ' : inactive sdc') else 'Personalities : [raid1]' end as line from supplier")
 SPEEDS = Derived("select s_suppkey, case s_suppkey % 5 when 0 then concat(s_suppkey, ' Gbps') when 1 then concat(s_suppkey, ' Mbps') when 2 then concat(s_suppkey, '.5 Gbps') when 3 then 'fast' else concat('', s_suppkey) end as speed from supplier")
 SERVICES = Derived("select concat(case s_suppkey % 40 when 0 then 'VeeamTransport' when 1 then 'restic-backup' when 2 then 'borgmatic' when 3 then 'BACULA-FD' else 'sshd' end, s_suppkey, '.service') as service from supplier")
@@ -151,6 +153,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "infra_disk_class": (_each(DISKS, "rota tran model", kind=m.disk_linux), f"""select *, case when tran = 'nvme' then 'NVMe' when rota = '0' then 'SSD' when rota = '1' and regexp_matches(lower(model), 'ssd|nvme') then 'SSD' when rota = '1' then 'HDD' when contains(lower(model), 'ssd') then 'SSD' when contains(lower(model), 'nvme') then 'NVMe' else 'Unknown' end as kind from {DISKS.sql}"""),
     "infra_disk_windows": (_each(WIN_DISKS, "media bus model", kind=m.disk_windows), f"""select *, case when media in ('4', 'SSD') then case when contains(bus, 'NVMe') then 'NVMe' else 'SSD' end when media in ('3', 'HDD') then 'HDD' when contains(bus, 'NVMe') then 'NVMe' when contains(lower(model), 'ssd') then 'SSD'
       when contains(lower(model), 'nvme') then 'NVMe' when contains(lower(model), 'hdd') then 'HDD' else 'Unknown' end as kind from {WIN_DISKS.sql}"""),
+    "infra_disk_mac": (_each(MAC_DISKS, "protocol bus solid model", kind=m.disk_mac), f"""select *, case when contains(lower(coalesce(protocol, '')), 'nvme') or contains(lower(coalesce(bus, protocol, '')), 'nvme') then 'NVMe' when solid then 'SSD' when solid = false then case when contains(lower(coalesce(model, '')), 'ssd') then 'SSD' else 'HDD' end
+      when contains(lower(coalesce(model, '')), 'apple ssd') or contains(lower(coalesce(protocol, '')), 'apple fabric') then 'NVMe' when contains(lower(coalesce(model, '')), 'ssd') then 'SSD' else 'Unknown' end as kind from {MAC_DISKS.sql}"""),
     "infra_raid_level": (_each(LINES, "line", level=m.raid_level), f"select *, regexp_extract(line, '^md[^:]*:.*?\\b(raid\\S*)', 1) as level from {LINES.sql}"),
     "link_speed": (_each(SPEEDS, "speed", mbps=m.link_mbps), f"""select *, (case when contains(speed, ' Gbps') then split_part(speed, ' ', 1)::double * 1000 when contains(speed, ' Mbps') then split_part(speed, ' ', 1)::double end)::int as mbps from {SPEEDS.sql}"""),
     "backup_agents": (lambda s, d: m.backup_agents(SERVICES.frame(s, d)), f"select distinct n as agent from {SERVICES.sql}, (values {_AGENT_VALUES}) a(p, n) where contains(lower(service), p)"),

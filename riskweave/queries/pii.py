@@ -171,10 +171,14 @@ def _inserted_sql(mode: str) -> str:
 
 
 def cell_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.all_cells(_every_table(spark, sf_dir)).select("table_name", "pii_type")
+    """table_name and pii_type by the names of all columns and by the contacts' cells."""
+    every = _every_table(spark, sf_dir)
+    columns = spark.createDataFrame([(t, c) for t, rows in every.items() for c in rows.columns], "table_name string, column_name string")
+    names = columns.select("table_name", pii.column_class(F.col("column_name")).alias("pii_type")).where("pii_type is not null")
+    return names.unionByName(cell_columns(spark, sf_dir).select(F.lit("contacts").alias("table_name"), "pii_type"))
 
 
-CELL_FOUND = f"select table_name, pii_type from ({_ALL_CELLS_SQL})"
+CELL_FOUND = f"select table_name, pii_type from (select table_name, {_CLASS_SQL} as pii_type from ({_EVERY_COLUMN})) where pii_type is not null union all select 'contacts', pii_type from ({_CELL_SQL})"
 
 #: Identifier-like strings derived from order keys, the same in both engines.
 _K = "(o_orderkey * 7919 + 123456789)"

@@ -58,6 +58,22 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table, and the orders with gaps, profiled over all rows and columns."""
+    out = None
+    for name, df in [(t, table(spark, sf_dir, t)) for t in _ALL] + [("dirty_orders", dirty(spark, sf_dir))]:
+        row = tables.profile(df).select(F.lit(name).alias("table_name"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _profile_sql(name: str, source: str, columns: str) -> str:
+    nulls = f"(select count(*) from (select unnest([{columns}]) x from {source}) where x is null)" if columns else "0"
+    return f"select '{name}' as table_name, n as row_count, c as column_count, nulls::bigint as null_cells, round(100 - 100.0::double * nulls / (n * c), 2) as completeness, n - distinct_rows as duplicate_rows from (select (select count(*) from {source}) n, (select count(*) from (describe select * from {source}))::int c, {nulls} nulls, (select count(*) from (select distinct * from {source})) distinct_rows)"
+
+
+# the tables of the folder have no nulls (the query counts them all the same); the orders with gaps have
+_PROFILES = " union all ".join([_profile_sql(t, t, "") for t in _ALL] + [_profile_sql("dirty_orders", f"({DIRTY})", ", ".join(f"{c}::varchar" for c in _DIRTY_COLUMNS))])
 _TOTALS = " union all ".join(f"select '{t}' as table_name, (select count(*) from {t}) as row_count, (select count(*) from (describe {t}))::int as column_count" for t in _ALL)
 CATALOG = Derived("""select case p_partkey % 6 when 0 then 'public' when 1 then 'HR' when 2 then 'sales' when 3 then null when 4 then 'finance' else 'dwh' end as schema,
   concat(case p_size % 9 when 0 then 'users' when 1 then 'products' when 2 then 'access_log' when 3 then 'notes' when 4 then 'Payments' when 5 then 'old_orders' else 'facts' end, '_', p_partkey) as table_name,
@@ -122,6 +138,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "tbl_orphans_multi_fk": (orphans_multi, " union all ".join(f"select '{c}' as child, '{fk}' as fk, count(*) as orphan_rows from {c} x where {fk} is not null and not exists (select 1 from {p} y where y.{pk} = x.{fk} and y.{pk} % 10 <> 3)" for c, fk, p, pk in KEYS)),
     "tbl_orphans_whole": (orphans_whole, " union all ".join(f"select '{c}' as child, '{fk}' as fk, count({fk}) as checked, count_if({fk} is not null and not exists (select 1 from {p} y where y.{pk} = x.{fk})) as orphan_rows from {c} x" for c, fk, p, pk in KEYS)),
+    "tbl_profiles": (profiles, _PROFILES),
     "tbl_totals": (totals, _TOTALS),
     "tbl_size_balance": (lambda s, d: tables.size_balance(totals(s, d).select(F.col("row_count").alias("size"))), f"""select round(case when max(row_count) / sum(row_count) <= 0.5 then 1.0 else 2 * (1 - max(row_count) / sum(row_count)) end, 4) as by_largest,
       round(greatest(0.0, least(1.0, 1 - stddev_pop(row_count) / avg(row_count))), 4) as by_variation from ({_TOTALS})"""),

@@ -28,10 +28,16 @@ def reaudit(stream: DataFrame, key: str, text: str, out: str, checkpoint: str) -
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Extension: counts by type in tumbling windows, with a watermark for late events."""
+def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Extension: counts by type in windows, tumbling or (with ``slide``) hopping, with a watermark for late events."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
+    return rows.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
+
+
+def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Extension: each user's sessions, which end after a gap without events."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), "events")
 
 
 def run_complete(aggregate: DataFrame, out: str, checkpoint: str) -> None:

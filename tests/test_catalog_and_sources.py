@@ -189,6 +189,44 @@ def test_inventories_are_compared_with_the_last_snapshot(spark, tmp_path):
     assert records.latest_snapshot(spark, run["snapshots"], "src").count() == 3
 
 
+def test_times_and_latest_snapshots(spark):
+    from riskweave.functions import paths
+
+    values = [("12.5", 12.5), ("2024-01-01T00:00:00Z", 1704067200.0), ("2024-01-01 00:00:00", 1704067200.0), ("soon", 0.0), (None, 0.0)]
+    assert [r[0] for r in spark.createDataFrame(values, "v string, w double").select(paths.parse_mtime(F.col("v"))).collect()] == [w for _, w in values]
+    snaps = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("a", "2", 3), ("b", "1", 4)], "source_id string, taken string, n int")
+    assert sorted(r.n for r in records.latest_by_source(snaps).collect()) == [2, 3, 4]
+
+
+def test_exports_are_read(spark, tmp_path):
+    (tmp_path / "items.json").write_text('{"id": "1", "name": "a", "size": 5, "permissions": [{"roles": ["write"], "user": "u"}]}\n{"id": "2", "name": "b"}\n')
+    (tmp_path / "entities.json").write_text('{"name": "x", "n": 5, "tags": ["a"]}\n')
+    items = records.cloud_items(spark, str(tmp_path / "items.json"))
+    assert metadata.share_grants(items.withColumnRenamed("id", "item_id")).first().role == "write" and items.count() == 2
+    assert records.entities(spark, str(tmp_path / "entities.json")).first().n == "5"
+    documents = databases.documents(spark, str(tmp_path / "items.json"))
+    assert documents.where("size is null").count() == 1
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    stored = databases.stored_size(spark.read.parquet(str(tmp_path / "t"))).first()
+    assert stored.size_bytes > 0 and stored.last_updated is not None
+    spark.range(2).createOrReplaceTempView("riskweave_seen")
+    assert [c.name for c in databases.catalog(spark).where("table_name = 'riskweave_seen'").first().columns] == ["id"]
+    spark.catalog.dropTempView("riskweave_seen")
+
+
+def test_host_inventory(spark, tmp_path):
+    from riskweave.sources import host
+
+    for path, text in {"sys/block/sda/queue/rotational": "1", "sys/block/sda/device/model": "ST1000 ", "sys/block/sda/size": "2048", "sys/block/nvme0n1/queue/rotational": "0", "sys/block/nvme0n1/size": "10", "sys/block/sdb/queue/rotational": "1", "sys/block/sdb/device/model": "My SSD", "sys/block/loop0/size": "1", "proc/mdstat": "Personalities : [raid1]\nmd0 : active raid1 sda[0]\n", "sys/class/net/eth0/speed": "1000", "sys/class/net/eth0/operstate": "up", "sys/class/net/lo/operstate": "up", "sys/class/net/wl/operstate": "down", "proc/12/comm": "veeamagent", "proc/13/comm": "sshd"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text + "\n")
+    assert {(r.name, r.kind, r.size_bytes) for r in host.disks(spark, str(tmp_path)).collect()} == {("sda", "HDD", 1 << 20), ("nvme0n1", "NVMe", 5120), ("sdb", "SSD", None)}
+    assert host.arrays(spark, str(tmp_path)).first().level == "raid1" and {(r.name, r.mbps) for r in host.links(spark, str(tmp_path)).collect()} == {("eth0", 1000), ("wl", None)}
+    got = host.summary(spark, str(tmp_path)).first()
+    assert (got.ssd_disks, got.hdd_disks, got.nvme_disks, got.arrays, got.links_up, got.backup_agents) == (1, 1, 1, 1, 1, "Veeam")
+    assert host.summary(spark, str(tmp_path / "none")).first().total_bytes == 0
+
+
 def test_a_plan_is_built_without_a_job(spark):
     from riskweave import queries
 
