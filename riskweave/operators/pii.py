@@ -59,7 +59,8 @@ def _valid(order: Column, value: Column) -> Column:
 
 
 def _names(order: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p.name) for p in PATTERNS]), order + 1)
+    # get, not element_at: that counts as never null, so a filter on null names would be dropped
+    return F.get(F.array(*[F.lit(p.name) for p in PATTERNS]), order)
 
 
 def spread(rows: DataFrame) -> DataFrame:
