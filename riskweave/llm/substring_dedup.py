@@ -5,8 +5,10 @@ coordinates (document, word); an edge leads from its first K - 1 words to its
 last. An edge is known by its first coordinates, those of the least doc_id and
 word at which it occurs.
 
-1. The hash order of k-mers is cut into fragments; each finds the k-mers that
-   repeat and sends every occurrence, with the first coordinates, to its document.
+1. K-mers go to fragments by the least hash of the shorter runs of words within
+   them, so that neighbours mostly go together and a fragment has few, long
+   stretches of a document, however many fragments there are. Each finds the k-mers
+   that repeat and sends every occurrence, with the first coordinates, to its document.
    Hot k-mers, which a bounded sample of documents shows to be in many, don't
    meet in a fragment: each task finds their first coordinates in its own texts,
    the least of these are the first of all, and a second pass over the texts sends
@@ -16,7 +18,7 @@ word at which it occurs.
    coordinates form a run: one path of the graph, compacted where it is read.
 3. Where a run follows directly on another, the two meet in a node that
    branches, as its edges also lead on along the source. These nodes are joined
-   with the runs on their source document, and each run is cut there. What
+   with the distinct runs on their source document, and each is cut there. What
    remains are the nonbranching paths, at each place where they occur.
 4. Paths are found by 64-bit hashes of k-mers, so each is verified: the words at
    its source coordinates and those at its own are read, and where the 128-bit
@@ -44,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,8 @@ from ._text import Words, chunked, mix
 K = 50
 #: Text bytes whose k-mers make a fragment; one fragment is held in memory at a time.
 FRAGMENT_BYTES = 16 << 20
+#: Words whose k-mers a task holds before it writes a row for each fragment; the fewer rows, the less each one's own cost counts.
+BLOCK_WORDS = 1_000_000
 #: Documents of the sample that shows hot k-mers, how often one must be in it, and how many are handled so at most.
 HOT_SAMPLE, HOT_COUNT, HOT_MOST = 20_000, 20, 200_000
 #: Bits of the filter of documents that take part in a join; the more documents, the more it lets through.
@@ -76,14 +81,21 @@ def signatures(words: Words) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> tuple[bytes, bytes]:
-    """Low and high halves of 32-bit numbers; the high ones are nearly all zero and compress to nothing."""
-    return (x & 0xFFFF).astype(np.uint16).tobytes(), (x >> 16).astype(np.uint16).tobytes()
+    """Low and high halves of the differences of 32-bit numbers; words in sequence differ by 1 and compress to nothing."""
+    y = x.astype(np.uint32)
+    y[1:] -= y[:-1].copy()
+    return (y & 0xFFFF).astype(np.uint16).tobytes(), (y >> 16).astype(np.uint16).tobytes()
 
 
 def _from_planes(low: pa.ChunkedArray, high: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows; the differences of each row begin anew."""
     x = B.joined(high, np.uint16).astype(np.uint32)
     x <<= 16
     x |= B.joined(low, np.uint16)
+    size = pc.binary_length(low).to_numpy().astype(np.int64) // 2
+    first = B.spans(size)[:-1][size > 0]
+    np.cumsum(x, dtype=np.uint32, out=x)
+    x -= np.repeat(np.append(np.zeros(1, np.uint32), x[first[1:] - 1])[: len(first)], size[size > 0])
     return x
 
 
@@ -105,6 +117,22 @@ def _kmers(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (words.runs(words.first[doc] + pos, k) if len(doc) else np.zeros(0, _U)), doc, pos
 
 
+def _anchors(words: Words, k: int) -> np.ndarray:
+    """For the run of k words at each word of a batch, a hash of the least of the shorter runs within.
+
+    Equal runs have equal ones, and so have most neighbours: what is kept by it has long stretches of a document together.
+    """
+    g, size = words.hash, 1
+    while 4 * size <= k and size < 8:
+        g = g[:-size] * _U(0x9E3779B97F4A7C15) + mix(g[size:])
+        size *= 2
+    g, wide = mix(g), 1
+    while wide < k - size + 1:
+        step = min(wide, k - size + 1 - wide)
+        g, wide = np.minimum(g[:-step], g[step:]), wide + step
+    return mix(g)
+
+
 def _place(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Where each hash is in the sorted hot ones, or -1."""
     if not len(hot):
@@ -136,23 +164,36 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
     hot = hot_kmers(rows, k)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        documents = words_held = 0
         for batch in chunked(batches):
             words = Words(batch.column("text"))
             h, doc, pos = _kmers(words, k)
             cool = np.flatnonzero(_place(hot, h) < 0)
-            h, doc, pos = h[cool], doc[cool], pos[cool]
-            if not len(h):
+            if not len(cool):
                 continue
-            ids, sig = batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)
-            fragment = B.fragment_of(h, number)
-            o = B.sort_by(fragment)
-            h, doc, pos, fragment = h[o], doc[o], pos[o], fragment[o]
-            cut = _edges(fragment)
-            rows = []
-            for a, b in zip(cut[:-1], cut[1:]):
-                own, count = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(label[fragment[a]]), ids[own].tobytes(), sig[own].tobytes(), count.astype(np.uint32).tobytes(), h[a:b].tobytes(), *_planes(pos[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], names=["fragment", "doc", "sig", "count", "key", "low", "high"])
+            fragment = B.fragment_of(_anchors(words, k)[words.first[doc[cool]] + pos[cool]], number)
+            held.append((h[cool], fragment, (doc[cool] + documents).astype(np.int32), pos[cool].astype(np.uint32), batch.column("doc_id").to_numpy(zero_copy_only=False), signatures(words)))
+            documents, words_held = documents + batch.num_rows, words_held + len(words)
+            if words_held >= BLOCK_WORDS:
+                yield block(held)
+                held, documents, words_held = [], 0, 0
+        if held:
+            yield block(held)
+
+    def block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """A row for each fragment of the k-mers of some chunks."""
+        h, fragment, doc, pos, ids, sig = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        o = B.sort_by(fragment)
+        h, doc, pos, fragment = h[o], doc[o], pos[o], fragment[o]
+        cut = _edges(fragment)
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            seg = _edges(doc[a:b])  # documents are in order within a fragment
+            own = doc[a:b][seg[:-1]]
+            rows.append((int(label[fragment[a]]), ids[own].tobytes(), sig[own].tobytes(), np.diff(seg).astype(np.uint32).tobytes(), h[a:b].tobytes(), *_planes(pos[a:b])))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], names=["fragment", "doc", "sig", "count", "key", "low", "high"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The least and the largest coordinates of each hot k-mer in a chunk."""
@@ -270,21 +311,53 @@ def runs(docs: DataFrame, k: int = K) -> DataFrame:
     return checkpoint(found.repartition(number, "bucket").groupBy("bucket").applyInArrow(compact, _RUNS))
 
 
+def cuts(found: DataFrame) -> DataFrame:
+    """Distinct runs (first_doc, first_sig, first_start, n) that nodes cut, and where their pieces begin, with the end of the last.
+
+    The cuts of a run depend on its source coordinates alone, so a run is cut once, however often it occurs; one of a single k-mer has no node inside.
+    """
+    source = lambda d, s, p: F.struct(F.col(d).alias("first_doc"), F.col(s).alias("first_sig"), p.alias("node"))
+    ends = F.array(source("before_doc", "before_sig", F.col("before") + 1), source("first_doc", "first_sig", F.col("first_start")))
+    nodes = found.where("before is not null").select(F.explode(ends).alias("x")).select("x.*").distinct()
+    nodes = nodes.groupBy("first_doc", "first_sig").agg(F.array_sort(F.collect_list("node")).alias("_nodes"))
+    whole = found.where("n > 1").select("first_doc", "first_sig", "first_start", "n").distinct()
+    whole = whole.groupBy("first_doc", "first_sig").agg(F.collect_list("first_start").alias("_starts"), F.collect_list("n").alias("_sizes"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, sizes, nodes_ = (batch.column(c) for c in ("_starts", "_sizes", "_nodes"))
+            run_at, node_at = B.spans(starts.value_lengths().to_numpy()), B.spans(nodes_.value_lengths().to_numpy())
+            start, size, node = (x.flatten().to_numpy() for x in (starts, sizes, nodes_))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(run_at))
+            low, high = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+            for r in range(batch.num_rows):
+                i, own = slice(run_at[r], run_at[r + 1]), node[node_at[r] : node_at[r + 1]]
+                low[i] = np.searchsorted(own, start[i], "right") + node_at[r]
+                high[i] = np.searchsorted(own, start[i] + size[i], "left") + node_at[r]
+            some = np.flatnonzero(high > low)
+            inner = high[some] - low[some]
+            at = B.spans(inner + 2)
+            out = np.empty(at[-1], np.int64)
+            out[at[:-1]], out[at[1:] - 1] = start[some], start[some] + size[some]
+            j = np.arange(inner.sum()) - np.repeat(B.spans(inner)[:-1], inner)
+            out[np.repeat(at[:-1] + 1, inner) + j] = node[np.repeat(low[some], inner) + j]
+            doc, sig = (batch.column(c).to_numpy()[row[some]] for c in ("first_doc", "first_sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sig), pa.array(start[some]), pa.array(size[some]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))], names=["first_doc", "first_sig", "first_start", "n", "cuts"])
+
+    return whole.join(nodes, ["first_doc", "first_sig"]).mapInArrow(split, "first_doc bigint, first_sig bigint, first_start bigint, n bigint, cuts array<bigint>")
+
+
 def paths(docs: DataFrame, k: int = K) -> DataFrame:
     """Nonbranching paths at each place where they occur: doc_id, sig, start, n (k-mers), first_doc, first_sig, first_start."""
     found = runs(docs, k)
-    source = lambda d, s, p: F.struct(F.col(d).alias("first_doc"), F.col(s).alias("first_sig"), p.alias("node"))
-    ends = F.array(source("before_doc", "before_sig", F.col("before") + 1), source("first_doc", "first_sig", F.col("first_start")))
-    nodes = found.where("before is not null").select(F.explode(ends).alias("x")).select("x.*")
-    nodes = nodes.groupBy("first_doc", "first_sig").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    rows = found.join(nodes, ["first_doc", "first_sig"], "left")
-    end = F.col("first_start") + F.col("n")
-    inner = F.filter(F.coalesce("nodes", F.array().cast("array<bigint>")), lambda p: (p > F.col("first_start")) & (p < end))
-    rows = rows.withColumn("cuts", F.concat(F.array("first_start"), inner, F.array(end)))
+    columns = ["doc_id", "sig", "start", "n", "first_doc", "first_sig", "first_start"]
+    rows = found.where("n > 1").select(*columns).join(cuts(found), ["first_doc", "first_sig", "first_start", "n"], "left")
+    rows = rows.withColumn("cuts", F.coalesce("cuts", F.array("first_start", F.col("first_start") + F.col("n"))))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)))
     here = F.element_at("cuts", F.col("i"))
     rows = rows.withColumns({"shift": here - F.col("first_start"), "length": F.element_at("cuts", F.col("i") + 1) - here})
-    return rows.select("doc_id", "sig", (F.col("start") + F.col("shift")).alias("start"), F.col("length").alias("n"), "first_doc", "first_sig", (F.col("first_start") + F.col("shift")).alias("first_start"))
+    rows = rows.select("doc_id", "sig", (F.col("start") + F.col("shift")).alias("start"), F.col("length").alias("n"), "first_doc", "first_sig", (F.col("first_start") + F.col("shift")).alias("first_start"))
+    return found.where("n = 1").select(*columns).unionByName(rows)
 
 
 class Joined:

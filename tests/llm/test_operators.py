@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.llm import _blocks as B
 from riskweave.llm import ann, language_id, license_scan, mixing, ngram_join, packing, substring_dedup, token_output, topk_search, toxicity
 from riskweave.llm._text import Words
 
@@ -337,6 +338,29 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch, hot):
     assert {d: t.split() for d, t in got.items()} == {d: [x for i, x in enumerate(w) if i not in want[d]] for d, w in words.items()}
 
 
+def test_substring_dedup_fragments_keep_stretches_together():
+    """However many fragments there are, a document's k-mers come to few of them at a time; equal k-mers come to the same one."""
+    rng, k = random.Random(2), 50
+    texts = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(5000)}"]) for _ in range(n)) for n in (0, 3, 50, 4000, 700)]
+    words = Words(pa.array([*texts, "x y z " + texts[3]]))
+    h, doc, pos = substring_dedup._kmers(words, k)
+    fragment = B.fragment_of(substring_dedup._anchors(words, k)[words.first[doc] + pos], 3000)
+    at = {}
+    assert all(at.setdefault(x, f) == f for x, f in zip(h.tolist(), fragment.tolist()))
+    new = (doc[1:] != doc[:-1]) | (fragment[1:] != fragment[:-1])
+    assert new.sum() < len(h) / 10 and len(set(fragment.tolist())) > 100
+    rows_ = [pos[:0], pos[:1], pos[1:3000], pos[3000:]]
+    low, high = (pa.chunked_array([pa.array(x, pa.binary())]) for x in zip(*map(substring_dedup._planes, rows_)))
+    assert (substring_dedup._from_planes(low, high) == pos).all() and sum(np.count_nonzero(np.frombuffer(x, np.uint16) != 1) for x in low.chunk(0).to_pylist()) < 10
+
+
+def test_substring_dedup_cuts_each_run_once(spark, docs):
+    """A run that occurs often is cut once at the nodes of its source; runs without a node inside aren't there."""
+    quotes = [(d, 7, 0, 40, 1, 9, 100, None, None, None) for d in range(50)] + [(d, 7, 40, 5, 1, 9, 110, 1, 9, 129) for d in range(3)] + [(80, 7, 0, 1, 1, 9, 110, None, None, None), (81, 7, 0, 9, 2, 9, 0, None, None, None), (82, 7, 0, 2, 1, 9, 110, None, None, None)]
+    found = spark.createDataFrame(quotes, substring_dedup._RUNS)
+    assert [tuple(r) for r in substring_dedup.cuts(found).collect()] == [(1, 9, 100, 40, [100, 110, 130, 140])]
+
+
 def plain_neighbours(x, q, k=ann.K):
     """By brute force: the k vectors whose larger one of distance and reach is least, in the order of distance."""
     lines = ann.directions(x.shape[1], ann.PROJECTIONS)
