@@ -181,6 +181,8 @@ def coarse_flags(text: Column) -> Column:
     def packed(h: Column) -> Column:
         flags = reduce(lambda a, b: a + b, [F.when(h[k] > 0, F.lit(1 << FLAG_BITS[k])).otherwise(0) for k in hits])
         total = reduce(lambda a, b: a + b, [h[k] for k in hits])
-        return F.struct(flags.cast("bigint").alias("flags"), total.alias("hits"), F.round(total / (F.octet_length(text) / 1024.0), 4).alias("density"))
+        # an empty text has 0 hits in 0 KB: not a number, as in the SQL, where a division would be an error
+        density = F.when(F.octet_length(text) > 0, F.round(total / (F.octet_length(text) / 1024.0), 4)).otherwise(float("nan"))
+        return F.struct(flags.cast("bigint").alias("flags"), total.alias("hits"), density.alias("density"))
 
     return F.get(F.transform(once, packed), F.lit(0))

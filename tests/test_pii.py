@@ -1,5 +1,6 @@
 """Golden values of the validators, the patterns and the three modes."""
 
+import math
 import random
 import re
 
@@ -126,5 +127,11 @@ def test_previews_are_masked_and_few(spark):
     assert len(rows) == 10 and {r.value_preview for r in rows} == {"user..."}
 
 
+def test_coarse_flags_of_an_empty_text(spark):
+    got = {r.doc_id: r for r in _docs(spark, "", "a@b").select("doc_id", pii.coarse_flags(F.col("text")).alias("f")).select("doc_id", "f.*").collect()}
+    assert (got[0].flags, got[0].hits, math.isnan(got[0].density)) == (0, 0, True)
+    assert (got[1].flags, got[1].hits, got[1].density) == (1, 1, 341.3333)
+
+
 def test_re2_spelling_has_no_lookaround():
     assert not [p.name for p in PATTERNS if re.search(r"\(\?[=!<]", p.re2 or p.regex)]
