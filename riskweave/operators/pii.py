@@ -1,4 +1,4 @@
-"""Detection of personal data in three modes, as DataFrame plans without Python functions.
+"""Detection of personal data in three modes, as DataFrame plans.
 
 ``line``   each line by itself; of a value that repeats in a document, whatever
            its family, the first occurrence counts (family, line, position);
@@ -6,16 +6,21 @@
            has it, and its repeats within that family all count;
 ``cell``   one value of a table at a time; the first family whose pattern occurs
            and whose validator accepts the entire cell.
+
+Texts first pass through Arrow, where RE2 tells by the patterns' loose forms which of them can occur at all. It reads a text once for all
+of them; nearly all texts end there. What is found, is found by the patterns themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.patterns import GATES, IDENTIFIERS, PATTERNS, PatternSpec
+from ..functions.patterns import GATES, IDENTIFIERS, LOOSE, PATTERNS, PatternSpec
 from ..functions.validators import VALIDATORS
 
 PREVIEWS = 10
@@ -39,13 +44,59 @@ def _found(text: Column, p: PatternSpec, order: int, group: int) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(p.regex), F.lit(group)), lambda v, i: F.struct(F.lit(order).alias("type_ord"), i.alias("pos"), v.alias("value")))
 
 
-def _hits(text: Column, use: list[tuple[int, PatternSpec]], mode: str) -> Column:
-    """All matches of a text, gate by gate."""
-    parts = []
+def _bits(order: list[int]) -> int:
+    return sum(1 << i for i in order)
+
+
+def _can(can: Column, *order: int) -> Column:
+    """Whether any of the patterns can occur."""
+    return can.bitwiseAND(F.lit(_bits(list(order)))) != 0
+
+
+def _search(use: list[int]) -> Callable:
+    """A function of Arrow strings without nulls for the tasks: the places of those in which any of the patterns can occur, and a bit for each of these patterns."""
+    loose = [(i, LOOSE[i]) for i in use]
+
+    def search(texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # as bytes: no text is invalid, and RE2 counts each as a character
+        texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        some = pc.match_substring_regex(texts, "|".join(f"(?:{x})" for _, x in loose))
+        at, texts = pc.indices_nonzero(some), texts.filter(some)
+        can = np.zeros(len(texts), np.int32)
+        for i, x in loose if len(texts) else ():
+            can |= pc.match_substring_regex(texts, x).to_numpy(zero_copy_only=False).astype(np.int32) << i
+        return at, pa.array(can, pa.int32())
+
+    return search
+
+
+def _candidates(rows: DataFrame, use: list[int]) -> DataFrame:
+    """The rows whose ``_text`` can have a match, with ``_can``, the bits of the patterns."""
+    search = _search(use)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, can = search(batch.column("_text"))
+            if len(at):
+                batch = batch.take(at)
+                yield pa.RecordBatch.from_arrays([*batch.columns, can], names=[*batch.schema.names, "_can"])
+
+    return rows.mapInArrow(keep, StructType([*rows.schema.fields, StructField("_can", IntegerType())]))
+
+
+def _hits(text: Column, can: Column, use: list[tuple[int, PatternSpec]], mode: str) -> Column:
+    """All matches of a text, gate by gate, by the patterns that can occur."""
+    parts, none = [], F.array().cast(_MATCH)
     for gate in GATES:
-        own = [_found(text, p, i, p.group if mode == "block" else 0) for i, p in use if p.gate == gate]
+        own = [(i, F.when(_can(can, i), _found(text, p, i, p.group if mode == "block" else 0)).otherwise(none)) for i, p in use if p.gate == gate]
         if own:
-            parts.append(F.when(_gate(gate, text), F.flatten(F.array(*own))).otherwise(F.array().cast(_MATCH)))
+            parts.append(F.when(_can(can, *[i for i, _ in own]) & _gate(gate, text), F.flatten(F.array(*[x for _, x in own]))).otherwise(none))
     return F.concat(*parts)
 
 
@@ -76,14 +127,14 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def raw_matches(docs: DataFrame, key: str, text: str, mode: str = "line", patterns: list[str] | None = None) -> DataFrame:
     """Each valid match: key, line, type_ord, type, pos, value, norm."""
-    rows = spread(docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null"))
+    use = [(i, p) for i, p in enumerate(PATTERNS) if patterns is None or p.name in patterns]
+    rows = _candidates(spread(docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null")), [i for i, _ in use])
     # the outer forms keep the optimiser from adding a filter that searches every text once more
     if mode == "line":
-        rows = rows.select(key, F.posexplode_outer(F.split("_text", "\n")).alias("line", "_text")).where("_text != ''")
+        rows = rows.select(key, "_can", F.posexplode_outer(F.split("_text", "\n")).alias("line", "_text")).where("_text != ''")
     else:
         rows = rows.withColumn("line", F.lit(0))
-    use = [(i, p) for i, p in enumerate(PATTERNS) if patterns is None or p.name in patterns]
-    rows = rows.select(key, "line", F.explode_outer(_hits(F.col("_text"), use, mode)).alias("m")).where("m is not null").select(key, "line", "m.*")
+    rows = rows.select(key, "line", F.explode_outer(_hits(F.col("_text"), F.col("_can"), use, mode)).alias("m")).where("m is not null").select(key, "line", "m.*")
     rows = rows.where(_valid(F.col("type_ord"), F.col("value")))
     return rows.select(key, "line", "type_ord", _names(F.col("type_ord")).alias("type"), "pos", "value", normalise(F.col("value")).alias("norm"))
 
@@ -116,24 +167,60 @@ def previews(found: DataFrame, key: str, most: int = PREVIEWS) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= most).select(key, "type", "place", (F.col("line") + 1).alias("line_number"), preview(F.col("value")).alias("value_preview"))
 
 
-def cell_type(value: Column) -> Column:
-    """Mode cell: the family of one cell, or null; of several the earliest. Each gate is tried once, and its families only where it holds."""
-    parts = []
-    for gate in GATES:
-        own = []
-        for i, p in enumerate(PATTERNS):
-            if p.gate == gate:
-                hit = value.rlike(p.regex)
-                own.append(F.when(hit & VALIDATORS[p.validator](value) if p.validator else hit, F.lit(i)))
-        if own:
-            parts.append(F.when(_gate(gate, value), F.least(*own) if len(own) > 1 else own[0]))
-    return _names(F.least(*parts))
+def cell_type(value: Column, can: Column) -> Column:
+    """Mode cell: the family of one cell, or null; of several the earliest. Only patterns that can occur are tried, and none after a hit."""
+    own = []
+    for i, p in enumerate(PATTERNS):
+        hit = value.rlike(p.regex)
+        own.append(F.when(_can(can, i), F.when(hit & VALIDATORS[p.validator](value) if p.validator else hit, F.lit(i))))
+    return _names(F.coalesce(*own))
+
+
+#: Cells of a column that a task takes together: Arrow bytes.
+CELL_BYTES = 8 << 20
+
+
+def _cells(table: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, v, can and n: the cells in which a pattern can occur. A value that repeats is searched once for each CELL_BYTES of its column."""
+    search, limit = _search(list(range(len(PATTERNS)))), CELL_BYTES
+
+    def count(batches):
+        import pyarrow as pa
+
+        held, size = [[] for _ in columns], [0] * len(columns)
+
+        def found(k):
+            seen = pa.chunked_array(held[k]).value_counts()
+            held[k], size[k] = [], 0
+            seen = seen.filter(seen.field("values").is_valid())
+            at, can = search(seen.field("values"))
+            seen = seen.take(at)
+            if len(seen):
+                name = pa.array([columns[k]] * len(seen), pa.string())
+                yield pa.RecordBatch.from_arrays([name, seen.field("values"), can, seen.field("counts")], names=["column_name", "v", "can", "n"])
+
+        for batch in batches:
+            for k, values in enumerate(batch.columns):
+                held[k].append(values)
+                size[k] += values.nbytes
+                if size[k] >= limit:
+                    yield from found(k)
+        for k in range(len(columns)):
+            if held[k]:
+                yield from found(k)
+
+    return table.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(count, "column_name string, v string, can int, n bigint")
+
+
+def _by_cell_type(found: DataFrame, *by: str) -> DataFrame:
+    # as a generator, the search stays above the union; else each table would have its own copy of it to compile
+    typed = found.select(*by, "n", F.explode(F.array(cell_type(F.col("v"), F.col("can")))).alias("pii_type"))
+    return typed.where("pii_type is not null").groupBy(*by, "pii_type").agg(F.sum("n").alias("cells"))
 
 
 def cells(table: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, pii_type and the number of cells, over the given string columns."""
-    long = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
-    return long.where("v is not null").withColumn("pii_type", cell_type(F.col("v"))).where("pii_type is not null").groupBy("column_name", "pii_type").agg(F.count("*").alias("cells"))
+    return _by_cell_type(_cells(table, columns), "column_name")
 
 
 def all_cells(tables: dict[str, DataFrame]) -> DataFrame:
@@ -142,11 +229,8 @@ def all_cells(tables: dict[str, DataFrame]) -> DataFrame:
     for name, rows in tables.items():
         own = [c for c, kind in rows.dtypes if kind == "string"]
         if own:
-            each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in own]))
-            parts.append(rows.select(F.lit(name).alias("table_name"), each.alias("x")).select("table_name", "x.*").where("v is not null"))
-    # as a generator, the search stays above the union; else each table would have its own copy of it to compile
-    found = reduce(DataFrame.unionAll, parts).select("table_name", "column_name", F.explode(F.array(cell_type(F.col("v")))).alias("pii_type"))
-    return found.where("pii_type is not null").groupBy("table_name", "column_name", "pii_type").agg(F.count("*").alias("cells"))
+            parts.append(_cells(rows, own).withColumn("table_name", F.lit(name)))
+    return _by_cell_type(reduce(DataFrame.unionAll, parts), "table_name", "column_name")
 
 
 #: Words in a column's name and the class that they mean, first hit wins.
