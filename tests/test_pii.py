@@ -156,5 +156,15 @@ def test_cells_that_repeat_are_searched_once_and_the_others_not_at_all(spark):
     assert {tuple(r) for r in pii.all_cells({"t": rows, "u": rows.limit(0)}).collect()} == {("t", "mail", "email", 500), ("t", "odd name", "religious", 1)}
 
 
+def test_line_and_block_search_only_texts_that_can_match(spark):
+    docs = _docs(spark, "nothing here\n" * 50, "x\n06 12 34 56 78\ny", "in 2019, 7 of 12", None, "see a@x.org\nat the mosque")
+    rows = docs.where("text is not null").withColumnRenamed("text", "_text")
+    bit = {p.name: 1 << i for i, p in enumerate(PATTERNS)}
+    assert {r.doc_id: r._can for r in pii._candidates(rows, list(range(len(PATTERNS)))).collect()} == {1: bit["phone_fr"], 4: bit["email"] | bit["religious"]}
+    for mode in ("line", "block"):
+        assert {(r.doc_id, r.type) for r in pii.matches(docs, "doc_id", "text", mode).collect()} == {(1, "phone_fr"), (4, "email"), (4, "religious")}
+    assert {r.type for r in pii.raw_matches(docs, "doc_id", "text", patterns=["religious"]).collect()} == {"religious"}
+
+
 def test_re2_spelling_has_no_lookaround():
     assert not [p.name for p in PATTERNS if re.search(r"\(\?[=!<]", p.re2 or p.regex)]
