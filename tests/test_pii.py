@@ -166,5 +166,12 @@ def test_line_and_block_search_only_texts_that_can_match(spark):
     assert {r.type for r in pii.raw_matches(docs, "doc_id", "text", patterns=["religious"]).collect()} == {"religious"}
 
 
+def test_table_summary_searches_each_table_once(spark):
+    from riskweave.queries.pii import QUERIES, _STRINGS
+
+    plan = QUERIES["pii_table_summary"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == sum(map(bool, _STRINGS.values())) + 1 and plan.count("Generate ") == 1
+
+
 def test_re2_spelling_has_no_lookaround():
     assert not [p.name for p in PATTERNS if re.search(r"\(\?[=!<]", p.re2 or p.regex)]
